@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm.canonical import map_rows
+from corvine.llm.splits import assign, leaks, related
+from corvine.llm.survivors import FIELDS, Survivors
 from corvine.sources.tables import load
 
 
@@ -24,5 +26,76 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(_typed_names(spark, sf_dir), load(spark, sf_dir, "canonical_values"))
 
 
-QUERIES = {"p5_found": p5_found}
-ORACLES: dict[str, str] = {}
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each written value without a listed entry occurs."""
+    rows = _typed_names(spark, sf_dir)
+    lost = p5_found(spark, sf_dir).where(F.col("canon_id") == -1)
+    return rows.join(lost, ["src_table", "src_id", "field"]).groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+
+
+def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "photo_search_pilot").select("entry_id", "capture_group", "image_sha256", "split")
+    return related(rows, "entry_id", ["capture_group", "image_sha256"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_pilot(spark, sf_dir), "split").select("entry_id")
+
+
+def p4_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # split_targets: one row a split, three in all
+    targets = [(row.split, row.share) for row in load(spark, sf_dir, "split_targets").collect()]
+    return assign(_pilot(spark, sf_dir), targets).select("entry_id", "component", "new_split")
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> Survivors:
+    return Survivors(load(spark, sf_dir, "catalog_wines"), load(spark, sf_dir, "feeds"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).records().select("group_row_id", "field", "best_row_id")
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).records()
+
+
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).values()
+
+
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).source_quality()
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_assigned": p4_assigned,
+    "p5_found": p5_found,
+    "p5_unmatched": p5_unmatched,
+    "p6_found": p6_found,
+    "p6_records": p6_records,
+    "p6_values": p6_values,
+    "p6_sources": p6_sources,
+}
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(160)"
+_FILLERS = "('-', '—', '???', 'n/a', 'null', 'tbd', 'unknown', 'не указано', 'нет данных', 'н/д')"
+_BEST = " UNION ALL ".join(
+    f"SELECT slug, '{f}' AS field, row_id, trust, loaded_at, raw_record_count, source_row_no FROM keyed WHERE trim(coalesce({f}, ''), {_BLANKS}) <> '' AND lower(trim({f}, {_BLANKS})) NOT IN {_FILLERS}"
+    for f in FIELDS
+)
+
+ORACLES: dict[str, str] = {
+    "p6_found": f"""
+WITH keyed AS (
+  SELECT c.* EXCLUDE (slug), regexp_replace(lower(trim(slug, {_BLANKS})), '[-_]+', '-', 'g') AS slug, f.trust FROM catalog_wines c LEFT JOIN feeds f USING (feed)
+  WHERE trim(coalesce(slug, ''), {_BLANKS}) <> ''
+), groups AS (
+  SELECT slug, min(row_id) AS group_row_id FROM keyed GROUP BY slug HAVING count(*) > 1
+), best AS (
+  SELECT slug, field, first(row_id ORDER BY trust DESC NULLS LAST, loaded_at DESC NULLS LAST, coalesce(raw_record_count, 0) DESC, source_row_no NULLS LAST, row_id) AS best_row_id FROM ({_BEST}) GROUP BY slug, field
+)
+SELECT group_row_id, field, best_row_id FROM best JOIN groups USING (slug)
+""",
+}
