@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm.canonical import map_rows
+from corvine.llm.packing import pack_specs
 from corvine.llm.splits import assign, leaks, related
 from corvine.llm.survivors import FIELDS, Survivors
+from corvine.llm.tokens import count_tokens, encode_texts
 from corvine.sources.tables import load
 
 
@@ -68,6 +72,32 @@ def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _survivors(spark, sf_dir).source_quality()
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pack_specs: three rows in all
+    specs = [(r.spec_id, r.tokenizer, r.capacity) for r in load(spark, sf_dir, "pack_specs").orderBy("spec_id").collect()]
+    parts = [packed.withColumn("spec_id", F.lit(spec_id)) for spec_id, _, packed in pack_specs(load(spark, sf_dir, "documents"), specs)]
+    return reduce(DataFrame.unionByName, parts).select("spec_id", "container_id", "doc_id", "part", "start", "n_tokens")
+
+
+def p8_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and share of unused room of each specification."""
+    specs = load(spark, sf_dir, "pack_specs").select("spec_id", "capacity")
+    filled = p8_packed(spark, sf_dir).groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("spec_id")
+    return (
+        filled.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+        .join(specs, "spec_id")
+        .withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6))
+    )
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_assigned": p4_assigned,
@@ -77,6 +107,10 @@ QUERIES = {
     "p6_records": p6_records,
     "p6_values": p6_values,
     "p6_sources": p6_sources,
+    "p7_ids": p7_ids,
+    "p7_lengths": p7_lengths,
+    "p8_packed": p8_packed,
+    "p8_room": p8_room,
 }
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(160)"
