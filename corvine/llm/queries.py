@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.llm.abuse import THRESHOLD
+from corvine.llm.abuse_corpus import fit, rates, score_documents
 from corvine.llm.canonical import map_rows
 from corvine.llm.packing import pack_specs
 from corvine.llm.splits import assign, leaks, related
@@ -98,6 +100,19 @@ def p8_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    return score_documents(documents, fit(documents, load(spark, sf_dir, "doc_labels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(load(spark, sf_dir, "documents"), p9_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_assigned": p4_assigned,
@@ -111,6 +126,9 @@ QUERIES = {
     "p7_lengths": p7_lengths,
     "p8_packed": p8_packed,
     "p8_room": p8_room,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(160)"
