@@ -14,9 +14,13 @@ FILLERS = (
 )
 
 
+#: Unicode white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode white-space character, as Python's ``str.strip`` does."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean(c: Column) -> Column:
