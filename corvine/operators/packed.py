@@ -12,8 +12,9 @@ _QUOTE_STARTS = r'(?<![^\s,;|/+&\[{])"'
 _QUOTE_ENDS = r'"(?![^\s,;|/+&\]}])'
 
 
-def _at(spans: Column, position: Column) -> Column:
-    return F.get(spans, position)
+def _bound(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
 def _unquoted(span: Column, escapes: bool) -> Column:
@@ -33,27 +34,30 @@ def _values(text: Column, delimiters: str, escapes: bool) -> Column:
     """
     body = r'(?:[^"\\]++|\\.|"")*+' if escapes else r'(?:[^"]++|"")*+'
     span = f"(?s){_QUOTE_STARTS}{body}{_QUOTE_ENDS}|\\([^()]*+\\)|[{_OPEN}{_CLOSE}]"
-    spans = F.regexp_extract_all(text, F.lit(span), F.lit(0))
-    masked = F.array_join(
-        F.transform(F.split(text, span, -1), lambda part, i: F.when(i < F.size(spans), F.concat(part, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(part)), ""
-    )
-    pieces = F.filter(F.transform(F.split(masked, delimiters, -1), strip), lambda piece: piece != "")
-
-    def restore(piece: Column) -> Column:
-        whole = F.regexp_extract(piece, f"\\A{_OPEN}(\\d+){_CLOSE}\\z", 1)
-        alone = _at(spans, whole.try_cast("int"))
-        mixed = F.array_join(
-            F.transform(
-                F.split(piece, _OPEN, -1),
-                lambda part, j: F.when(j == 0, part).otherwise(
-                    F.concat(_at(spans, F.substring_index(part, _CLOSE, 1).try_cast("int")), F.regexp_replace(part, f"(?s)\\A[^{_CLOSE}]*{_CLOSE}", ""))
-                ),
-            ),
-            "",
+
+    def split(spans: Column) -> Column:
+        masked = F.array_join(
+            F.transform(F.split(text, span, -1), lambda part, i: F.when(i < F.size(spans), F.concat(part, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(part)), ""
         )
-        return strip(F.when((whole != "") & alone.startswith('"'), _unquoted(alone, escapes)).otherwise(mixed))
+        pieces = F.filter(F.transform(F.split(masked, delimiters, -1), strip), lambda piece: piece != "")
+
+        def restore(piece: Column) -> Column:
+            whole = F.regexp_extract(piece, f"\\A{_OPEN}(\\d+){_CLOSE}\\z", 1)
+            alone = F.get(spans, whole.try_cast("int"))
+            mixed = F.array_join(
+                F.transform(
+                    F.split(piece, _OPEN, -1),
+                    lambda part, j: F.when(j == 0, part).otherwise(
+                        F.concat(F.get(spans, F.substring_index(part, _CLOSE, 1).try_cast("int")), F.regexp_replace(part, f"(?s)\\A[^{_CLOSE}]*{_CLOSE}", ""))
+                    ),
+                ),
+                "",
+            )
+            return strip(F.when((whole != "") & alone.startswith('"'), _unquoted(alone, escapes)).otherwise(mixed))
+
+        return F.filter(F.transform(pieces, restore), lambda value: value != "")
 
-    return F.filter(F.transform(pieces, restore), lambda value: value != "")
+    return _bound(F.regexp_extract_all(text, F.lit(span), F.lit(0)), split)
 
 
 def packed_values(c: Column, separators: str = ",;|/+&\t\r\n", words: tuple[str, ...] = ("и", "and", "und", "et")) -> Column:

@@ -28,8 +28,9 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable, step: Calla
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
-                if none_yet or row[at] != current:
-                    current, state, none_yet = row[at], start(), False
+                own = None if pd.isna(row[at]) else row[at]
+                if none_yet or own != current:
+                    current, state, none_yet = own, start(), False
                 state, outputs = step(state, row)
                 out.append(outputs)
             yield pd.DataFrame(out, columns=result.names)
