@@ -39,8 +39,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return train([(r.text, r.share, r.judges) for r in rows])
 
 
-def score_documents(documents: DataFrame, model: Classifier) -> DataFrame:
-    """``doc_id`` and ``score`` (probability of the worst sentence) of every row; 0 for null, empty and wordless texts."""
+def score_documents(documents: DataFrame, model: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns of ``keep`` and ``score`` (probability of the worst sentence) of every row; 0 for null, empty and wordless texts."""
     spark = documents.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
@@ -54,19 +54,17 @@ def score_documents(documents: DataFrame, model: Classifier) -> DataFrame:
         judge = _MODELS[key]
         for batch in batches:
             scores = pa.array([judge.score(text) for text in batch.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], scores], names=["doc_id", *keep, "score"])
 
-    schema = T.StructType([documents.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([documents.schema["doc_id"], *(documents.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    return documents.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
-def rates(documents: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """source, n_docs, n_abusive, rate of each source (null is a source of its own)."""
-    flagged = scores.select("doc_id", (F.col("score") >= threshold).alias("abusive"))
+def rates(documents: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """source, n_docs, n_abusive, rate of each source (null is a source of its own). Repeated rows count as rows."""
+    scored = score_documents(documents, model, ("source",))
     return (
-        documents.select("doc_id", "source")
-        .join(flagged, "doc_id")
-        .groupBy("source")
-        .agg(F.count("*").alias("n_docs"), F.count_if("abusive").alias("n_abusive"))
+        scored.groupBy("source")
+        .agg(F.count("*").alias("n_docs"), F.count_if(F.col("score") >= threshold).alias("n_abusive"))
         .withColumn("rate", F.round(F.col("n_abusive") / F.col("n_docs"), 6))
     )

@@ -88,7 +88,7 @@ def map_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD
     an edit check takes those that can be the same name, and the one with the fewest edits, then
     the highest similarity stays. If two entries are equally near, the value means neither (-1).
 
-    Null and blank values are not mapped. An entry with a null name is left out, one with a null
+    Null and blank values are not mapped; a null field has no entries, so its values get -1. An entry with a null name is left out, one with a null
     alternative has one name. With an empty list everything gets -1.
     """
     ship_package(values.sparkSession)
@@ -102,8 +102,12 @@ def map_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD
     for row in plain.groupBy("field", "t").count().collect():
         order.setdefault(row.field, {})[row.t] = row["count"]
     sets = _sets(keep, order, threshold)
+    # Distinct values are few bytes and much work, so they are dealt to all cores whatever their size.
+    spark = values.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = (
-        values.select("field", "value", F.explode(sets("field", "value")).alias("s"))
+        values.repartition(parts, "field", "value")
+        .select("field", "value", F.explode(sets("field", "value")).alias("s"))
         .select("field", "value", F.col("s.reading").alias("reading"), F.col("s.ordered").alias("ordered"), F.col("s.prefix").alias("prefix"))
         .select("*", F.posexplode("prefix").alias("i", "token"))
     )

@@ -110,7 +110,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(load(spark, sf_dir, "documents"), p9_scores(spark, sf_dir))
+    documents = load(spark, sf_dir, "documents")
+    return rates(documents, fit(documents, load(spark, sf_dir, "doc_labels")))
 
 
 QUERIES = {

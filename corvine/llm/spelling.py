@@ -37,10 +37,10 @@ DECORATION = frozenset(
     " белое красное розовое оранжевое сухое полусухое сладкое полусладкое брют игристое".split()
 )
 _PHRASES = re.compile(r"\bвинный дом\b|\bг\. ?о\.|\b\d+(?:[.,]\d+)? ?(?:л|l|мл|ml)\b|\b(?:19|20)\d\d\b|\b\d+(?:[.,]\d+)? ?%")
-#: Kinds of places and estates, which a writer may leave out.
+#: Kinds of places, which a writer may leave out.
 KINDS = frozenset(
     "долина берег полуостров нагорье область край дельта равнина остров острова предгорье предгорья район плато республика низовье низовья холмы"
-    " хребет побережье кряж котловина усадьба поместье погреба винодельня хозяйство вайн групп wines cellars group".split()
+    " хребет побережье кряж котловина".split()
 )
 _SHORT = re.compile(r"^\w{1,2}-\w{1,3}$")
 
