@@ -81,3 +81,29 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
 def tolerant_json(text: str, schema: str):
     """The parsed record, or null where the text is no such record."""
     return F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})
+
+
+def recorded_run(df: DataFrame, table: str, log: str, run: int, version: str) -> bool:
+    """One import run: nothing to do if the last succeeded run has the same version; else the rows go to a path of their own, and only a run that wrote them all is logged as succeeded.
+
+    A failed run is logged with its error and leaves the state as it was. Returns whether rows were written.
+    """
+    spark = df.sparkSession
+    schema = "run long, version string, path string, status string, error string"
+    try:
+        runs = spark.read.schema(schema).json(log)
+        last = runs.where("status = 'succeeded'").agg(F.max_by("version", "run").alias("v")).first()
+        if last and last.v == version:
+            return False
+    except Exception as missing:  # no log yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    path, error = f"{table.rstrip('/')}/run={run}", None
+    try:
+        df.write.mode("overwrite").parquet(path)
+    except Exception as failed:
+        error = str(failed)[:500]
+        raise
+    finally:
+        spark.createDataFrame([(run, version, path, "failed" if error else "succeeded", error)], schema).coalesce(1).write.mode("append").json(log)
+    return True

@@ -93,3 +93,23 @@ def test_files(spark, tmp_path):
     for run in (1, 2):
         append_version(spark.range(3), str(tmp_path / "v"), run)
     assert spark.read.parquet(str(tmp_path / "v")).where("run_id = 2").count() == 3
+
+
+def test_recorded_run(spark, tmp_path):
+    from corvine.sources.files import recorded_run
+
+    table, log = str(tmp_path / "t"), str(tmp_path / "log")
+    assert recorded_run(spark.range(3), table, log, 1, "v1")
+    assert not recorded_run(spark.range(9), table, log, 2, "v1")
+    with pytest.raises(Exception):  # noqa: B017
+        recorded_run(spark.range(3).select(F.raise_error(F.lit("broken")).alias("x")), table, log, 3, "v2")
+    assert recorded_run(spark.range(5), table, log, 4, "v2")
+    assert sorted((r.run, r.status) for r in spark.read.json(log).collect()) == [(1, "succeeded"), (3, "failed"), (4, "succeeded")]
+
+
+def test_positions(spark):
+    from corvine.plans.projections import positions
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("position_of"))
+    assert df.count() == positions(df, ["k"]).where("position = k").count()
+    assert positions(df.limit(0), ["k"]).collect() == []
