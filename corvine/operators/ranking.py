@@ -79,3 +79,45 @@ def contributions(df: DataFrame, by: list[str], amount: Column) -> DataFrame:
     kept = df.withColumn("__amount", amount).where(F.col("__amount") > 0)
     total = kept.groupBy(*by).agg(F.sum("__amount").alias("__total"))
     return kept.join(total, by).withColumn("part", F.round(F.col("__amount") / F.col("__total"), 6)).drop("__amount", "__total")
+
+
+def seen_tokens(names: DataFrame, label: DataFrame, links: DataFrame, scan: str, item: str) -> DataFrame:
+    """scan, item, token, seen: which words of each shortlisted name the label shows.
+
+    ``names``: scan, item, token; ``label``: scan, query (read words); ``links``: token, query,
+    similarity. A read word supports only the shortlisted words that it matches best (all of equal ones).
+    """
+    wanted = names.select(scan, "token").distinct()
+    near = label.join(links, "query").join(wanted, [scan, "token"]).select(scan, "query", "token", "similarity")
+    best = near.groupBy(scan, "query").agg(F.max("similarity").alias("top"))
+    shown = near.join(best, [scan, "query"]).where(F.col("similarity") == F.col("top")).select(scan, "token", F.lit(True).alias("seen")).distinct()
+    return names.join(shown, [scan, "token"], "left").select(scan, item, "token", F.coalesce("seen", F.lit(False)).alias("seen"))
+
+
+def name_checks(seen: DataFrame, scan: str, item: str) -> DataFrame:
+    """scan, item, is_fully_read, n_against: names whose words are all shown, and by how many shortlisted rivals each name is contradicted.
+
+    A rival contradicts a name if the label shows a word of the rival that the name lacks, and no
+    word of the name that the rival lacks. Rivals meet inside a shortlist, whose length the caller has bounded.
+    """
+    full = seen.groupBy(scan, item).agg(F.min("seen").alias("is_fully_read"), F.sort_array(F.collect_set("token")).alias("own"), F.collect_set(F.when(F.col("seen"), F.col("token"))).alias("shown"))
+    rival = full.select(scan, F.col(item).alias("__rival"), F.col("own").alias("__own"), F.col("shown").alias("__shown"))
+    against = (
+        full.join(rival, scan)
+        .where(F.col(item) != F.col("__rival"))
+        .where((F.size(F.array_except("__shown", "own")) > 0) & (F.size(F.array_except("shown", "__own")) == 0))
+        .groupBy(scan, item)
+        .agg(F.count("*").alias("n_against"))
+    )
+    return full.join(against, [scan, item], "left").select(scan, item, "is_fully_read", F.coalesce("n_against", F.lit(0).cast("long")).alias("n_against"))
+
+
+def identified(checks: DataFrame, least_visual: float = 0.25) -> DataFrame:
+    """Adds ``is_identified``: a clear visual share identifies; a faint one only with the name; the name alone only if it is fully read. Needs visual, name_share, is_fully_read."""
+    visual, name = F.coalesce("visual", F.lit(0.0)), F.coalesce("name_share", F.lit(0.0))
+    return checks.withColumn("is_identified", (visual >= least_visual) | ((visual > 0) & (name > 0)) | ((name > 0) & F.coalesce("is_fully_read", F.lit(True))))
+
+
+def grapes_fit(spelt: Column, own: Column) -> Column:
+    """Whether every word of at least one spelt-out grape (array of arrays) is among the item's own words; true if none is spelt out."""
+    return (F.size(spelt) == 0) | F.exists(spelt, lambda grape: F.size(F.array_except(grape, own)) == 0)

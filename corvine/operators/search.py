@@ -43,7 +43,13 @@ def linked_tokens(vocabulary: DataFrame, queries: DataFrame, bound: float = TOKE
     v = vocabulary.select("token", F.explode(grams(F.col("token"))).alias("gram"))
     q = unknown.select("query", F.explode(grams(F.col("query"))).alias("gram"))
     pairs = v.join(q, "gram").select("token", "query").distinct()
-    near = pairs.withColumn("similarity", F.coalesce(decided_similarity(F.col("token"), F.col("query")), F.when(undecided(F.col("token"), F.col("query")), difflib_ratio("token", "query"))))
+    decided = decided_similarity(F.col("token"), F.col("query"))
+    # matched blocks are a common subsequence, so a ratio of at least the bound leaves no more edits than this
+    edits = (1 - bound) * (F.length("token") + F.length("query"))
+    close = undecided(F.col("token"), F.col("query")) & (F.levenshtein("token", "query") <= edits)
+    # rows are filtered before the Python function, which would else see all of them
+    rated = pairs.where(decided.isNull() & close).repartition("token", "query").withColumn("similarity", difflib_ratio("token", "query"))
+    near = pairs.withColumn("similarity", decided).unionByName(rated)
     return known.unionByName(near.where(F.col("similarity") >= bound))
 
 
