@@ -34,7 +34,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(votes, "doc_id")
+    # at most max_labelled rows, so the texts of the corpus are not shuffled
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(votes), "doc_id")
     rows = sorted(texts.collect(), key=lambda r: (r.doc_id, r.text))
     return train([(r.text, r.share, r.judges) for r in rows])
 
