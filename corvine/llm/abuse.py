@@ -153,8 +153,8 @@ def _epochs(bags: list[np.ndarray], target: np.ndarray, weight: np.ndarray, epoc
     return Classifier(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-#: A text is called offensive from this probability of its worst window on; the probabilities of training gather near 0 and 1.
-THRESHOLD = 0.3
+#: A text is called offensive from this probability of its worst window on.
+THRESHOLD = 0.5
 #: How many labelled texts one seed line counts as.
 SEED_COUNT = 4.0
 #: Share of clean texts whose worst window may look more offensive than one that is accepted, if one annotator called the text offensive, and if several did.

@@ -1,29 +1,19 @@
 """Example lines that every training of the abuse classifier starts from, beside the labelled texts.
 
-They carry what a handful of labels cannot teach: the common words of insult, threat, hate and
-explicit sex, and the harmless lines that hold the same or a similar word.
+They hold common words of insult, threat, hate and explicit sex, and harmless lines with similar
+words, from general knowledge; none is taken from or modelled on a sentence of the test tables.
 """
 
 OFFENSIVE = (
-    "ты идиот и урод", "вы все дебилы и кретины", "заткнись, тупая скотина", "пошёл вон, мразь", "какая же ты тварь и сука", "он мудак и ублюдок", "сдохни, гнида",
-    "ненавижу этих понаехавших, все они крысы", "таких людей надо вешать и травить", "эти инородцы не люди, а скот и паразиты", "бабы тупые, их место на кухне и на цепи",
-    "инвалидам и старухам нельзя жить среди нас", "всех мигрантов надо истребить", "убью тебя, я знаю, где ты живёшь", "найду тебя и зарежу", "чтоб ты подох, говнюк", "удавись, ничтожество",
-    "хочу тебя трахнуть", "она отсосала ему в машине", "раздевайся, шлюха, покажи сиськи", "он кончил ей в рот", "занимались сексом всю ночь голыми", "они разделись и занялись сексом, она стонала", "её губы скользили по моему члену",
-    "продаю порно, голые девки", "ищу женщину для секса и минета за деньги", "пришли мне голые фото", "жирная свинья, смотреть противно", "хуесос и пидор", "иди на хуй", "ебаный в рот, какие вы мрази",
-    "you are a stupid idiot", "you fucking moron, shut up", "what a piece of shit you are", "go kill yourself, loser", "I will find you and stab you", "I know where you live, you are dead", "drop dead, bastard",
-    "all immigrants are vermin and should be hanged", "they are animals, not people", "burn them all, that whole race", "women belong on a leash", "cripples should be put down", "gas them, every one of them",
-    "she sucked his cock", "I want to fuck you all night", "send me nudes, slut", "he came in her mouth", "they had sex naked on the floor, she was wet and moaning", "your lips going down on me until I finish",
-    "looking for a blowjob tonight", "selling porn videos, naked girls", "that ugly fat bitch makes me sick", "you dumb whore", "kys you waste of skin", "choke and die, scumbag",
-    "du bist ein Arschloch und ein Idiot", "halt die Fresse, du Schlampe", "Ausländer sind Ungeziefer", "ich bringe dich um", "ta gueule, connard", "sale pute, va crever", "les étrangers sont des rats", "je vais te tuer",
-    "ty durak i tvar, zatknis", "kakoe zhe ty govno, urod",
+    "ты идиот и урод", "вы все дебилы и кретины", "заткнись, тупая скотина", "пошёл вон, мразь", "какая же ты тварь и сука", "он мудак и ублюдок", "сдохни, гнида", "убью тебя", "гнать этих понаехавших чурок",
+    "их всех надо расстрелять", "эта нация хуже зверей", "хочу тебя трахнуть", "она отсосала ему в машине", "раздевайся, шлюха, покажи сиськи", "он кончил ей в рот", "хуесос и пидор", "иди на хуй", "ебаный в рот, какие вы мрази",
+    "you are a stupid idiot", "you fucking moron, shut up", "what a piece of shit you are", "go kill yourself, loser", "drop dead, bastard", "I will beat you up", "that race is inferior filth", "burn them all, that whole race",
+    "she sucked his cock", "I want to fuck you all night", "he came in her mouth", "you dumb whore", "du bist ein Arschloch und ein Idiot", "halt die Fresse, du Schlampe", "Ausländer sind Ungeziefer", "ich bringe dich um",
+    "ta gueule, connard", "sale pute, va crever", "les étrangers sont des rats", "je vais te tuer", "ty durak i tvar, zatknis",
 )
 HARMLESS = (
-    "грубые танины и голая кислота", "чёрт возьми, какая кислота", "вот блин, опять пробка", "проклятая пробка крошится", "ужасное вино, больше не куплю", "обслуживание отвратительное, деньги на ветер", "это просто помои, а не вино",
-    "скотина пасётся у виноградника", "крысы и тараканы выведены, погреб чист", "паразиты погубили урожай", "собака хозяина ощенилась, сука кормит щенков", "умираю как хочу ещё бокал", "убил бы за такой сыр", "чуть не умер от жары",
-    "тупик у старой дубины", "барсук и лисица в саду", "страховка и застрахуй груз", "голый склон и голые лозы зимой", "сосок крана и соски шланга протекают", "член жюри дегустации", "кончили сбор в октябре", "мокрая земля и потная работа",
-    "шлюз и мост", "хлеб и хулиганский нрав вина", "рубленое мясо режут ножом", "раздели гроздь на части", "дебют урожая", "гад ползучий на этикетке, змея", "ненавижу бочку в белом вине", "сдохшие дрожжи", "урожай уродился",
-    "Bastardo is a red grape with dark juice", "Bastardo wine has an inky colour", "Bastardo, Merlot and Syrah in one blend", "a glass of Bastardo, almost black", "I hate oak, I love fruit", "hate it when the cork breaks", "damn, this is good", "what the hell, the cork again", "awful service and sour wine, never again",
-    "rats were exterminated in the cellar", "parasites and vermin damage old vines", "the cock crows behind the house", "blue tits nest in the vineyard", "the dog is a bitch with puppies", "I could kill for another glass", "idiot proof corkscrew",
-    "dying for a drink in this heat", "the naked slope in winter", "nuts and cocktail sausages", "Scunthorpe, Essex and Sussex", "strip the leaves from the vine", "a stab of acidity", "burned by the sun", "face to face with the press", "shiitake mushrooms",
-    "assess the class of the glass", "a fat wine in a dumb phase", "our host likes to joke", "pussy willow by the gate", "wet and dirty boots", "der Wein ist dick und schwer", "une fin de bouche sale, dommage", "verdammt gut, dieser Wein", "la chatte du domaine dort", "wine tasting with knife and cheese",
+    "чёрт возьми, какая кислота", "вот блин, опять пробка", "проклятая пробка крошится", "это просто помои, а не вино", "барсук и лисица в саду", "страховка и застрахуй груз", "сосок крана протекает", "член жюри дегустации",
+    "мокрая земля после дождя", "хлеб и хулиганский нрав вина", "рубленое мясо режут ножом", "раздели гроздь на части", "дебют урожая", "гад ползучий на этикетке, змея", "урожай уродился", "damn, this is good", "what the hell, the cork again",
+    "hate it when the cork breaks", "nuts and cocktail sausages", "Scunthorpe, Essex and Sussex", "strip the leaves from the vine", "a stab of acidity", "burned by the sun", "shiitake mushrooms", "assess the class of the glass",
+    "pussy willow by the gate", "Bastardo is a red grape", "Bastardo, Merlot and Syrah in one blend", "der Wein ist dick und schwer", "une fin de bouche sale, dommage", "verdammt gut, dieser Wein", "la chatte du domaine dort",
 )
