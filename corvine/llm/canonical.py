@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,11 +14,14 @@ from pyspark.sql import types as T
 from corvine.session import ship_package
 from corvine.llm.spelling import DECORATION, KINDS, allowed, cost, letters, osa, readings, skeleton
 
-#: Set similarity that a reading and a listed name share at least; names two edits apart have more.
-THRESHOLD = 0.4
+#: Set similarity that a reading and a listed name share at least: none, as a name without its kind of place or in abbreviations shares few of the listed letters.
+THRESHOLD = 0.0
 
 _ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0123456789"
 _SIGN = {ch: i for i, ch in enumerate(_ALPHABET)}
+_KINDS = frozenset(map(skeleton, KINDS))
+#: The edits that the longest names may carry.
+_EDITS = 2
 
 
 def tokens(reading: str) -> list[int]:
@@ -35,43 +38,91 @@ def tokens(reading: str) -> list[int]:
     return sorted(found)
 
 
-_SETS = T.ArrayType(
-    T.StructType([T.StructField("reading", T.StringType()), T.StructField("ordered", T.ArrayType(T.IntegerType())), T.StructField("prefix", T.ArrayType(T.IntegerType()))])
+def counted(word: str) -> list[int]:
+    """The counted letters of a word as numbers. Of two words k edits apart, each lacks at most k numbers of the other, in whatever order the letters stand."""
+    seen: Counter = Counter(word)
+    return sorted(ord(ch) * 64 + i for ch, n in seen.items() for i in range(1, min(n, 63) + 1))
+
+
+def value_forms(text: str, keep: frozenset) -> list[tuple[str, str, int]]:
+    """What a value is looked up by: sort of form, letters, how many of them the listed name may lack.
+
+    Sorts: ``whole`` reading; ``part``, a reading with abbreviations, whose letters are some of the name's; ``letters``, the closer form.
+    """
+    found = []
+    for reading in readings(text, keep):
+        bare = reading.replace(" ", "").replace(".", "").replace("-", "")
+        found.append(("whole", bare, _EDITS))
+        if "." in reading or "-" in reading:
+            # head and tail of x-yy may be the same letters of the name: any shared letter counts
+            found.append(("part", bare, len(bare) - 1 if "-" in reading else min(_EDITS, len(bare) - 1)))
+    found.append(("letters", letters(text), _EDITS))
+    return [f for f in dict.fromkeys(found) if f[1]]
+
+
+def name_forms(text: str, keep: frozenset) -> list[tuple[str, str, int]]:
+    """What a listed name is found by: sort of form, letters, how many of them a value may lack. Each reading stands whole and without one kind of place."""
+    found = []
+    for reading in readings(text, keep):
+        words = reading.split(" ")
+        options = [words] + [words[:i] + words[i + 1 :] for i, w in enumerate(words) if w in _KINDS and len(words) > 1]
+        for option in map("".join, options):
+            found += [("whole", option, allowed(len(option))), ("part", option, len(option))]
+    closer = letters(text)
+    found.append(("letters", closer, allowed(len(closer))))
+    return [f for f in dict.fromkeys(found) if f[1]]
+
+
+_FORMS = T.ArrayType(
+    T.StructType([T.StructField("sort", T.StringType()), T.StructField("ordered", T.ArrayType(T.IntegerType())), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("lacks", T.IntegerType())])
 )
 
 
-def _sets(keep: frozenset, order: dict[str, dict[int, int]], threshold: float):
-    """UDF (field, text) -> the sets of its readings, tokens from globally rare to frequent, and of each the first |x| - ceil(t |x|) + 1 tokens."""
+def _forms(of, keep: frozenset, order: dict[tuple[str, str], dict[int, int]]):
+    """UDF (field, text) -> its forms ``of`` a value or name, letters from globally rare to frequent, and of each the first ``lacks`` + 1 letters."""
 
     def ordered(field: str, text: str) -> list[dict]:
-        found, rank = [], order.get(field, {})
-        for reading in readings(text, keep):
-            row = sorted(tokens(reading), key=lambda t: (rank.get(t, 0), t))
-            found.append({"reading": reading, "ordered": row, "prefix": row[: len(row) - math.ceil(threshold * len(row)) + 1]})
+        found = []
+        for sort, word, lacks in of(text, keep):
+            rank = order.get((field, sort), {})
+            row = sorted(counted(word), key=lambda t: (rank.get(t, 0), t))
+            found.append({"sort": sort, "ordered": row, "prefix": row[: lacks + 1], "lacks": lacks})
         return found
 
-    @F.pandas_udf(_SETS)
-    def sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_FORMS)
+    def forms(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for fields, texts in batches:
             yield pd.Series([ordered(f, t) for f, t in zip(fields, texts)], dtype=object)
 
-    return sets
+    return forms
+
 
+def judge(value: str, name: str, keep: frozenset = frozenset()) -> tuple[float, float] | None:
+    """Cost and negative set similarity of the nearest reading of a value and a listed name, or None if the value cannot mean it."""
+    own, aim = letters(value), letters(name)
+    limit = allowed(len(aim))
+    edits = osa(own, aim, limit) if own and aim else limit + 1
+    found = []
+    for reading, listed in product(readings(value, keep), readings(name, keep)):
+        near = cost(reading, listed, _KINDS)
+        if near is None and edits <= limit:
+            near = float(edits)
+        if near is not None:
+            a, b = set(tokens(reading)), set(tokens(listed))
+            found.append((near, -(len(a & b) / len(a | b)) if a | b else 0.0))
+    return min(found, default=None)
 
-@F.pandas_udf(T.DoubleType())
-def _cost(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    kinds = frozenset(map(skeleton, KINDS))
-    for reading, name, value, listed in batches:
-        out = []
-        for r, n, v, c in zip(reading, name, value, listed):
-            found = cost(r, n, kinds)
-            if found is None:
-                own, aim = letters(v), letters(c)
-                limit = allowed(len(aim))
-                edits = osa(own, aim, limit)
-                found = edits if edits <= limit else None
-            out.append(found)
-        yield pd.Series(out, dtype="float64")
+
+def _judged(keep: frozenset):
+    """UDF (value, name) -> near: cost, unlike; null if the value cannot mean the name."""
+
+    @F.pandas_udf(T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("unlike", T.DoubleType())]))
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for values, names in batches:
+            found = [judge(v, n, keep) or (None, None) for v, n in zip(values, names)]
+            yield pd.DataFrame(found, columns=["cost", "unlike"]).astype("float64")
+
+    return judged
 
 
 def map_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -79,14 +130,15 @@ def map_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD
 
     ``canon``: canon_id, field, canon_value, alt_name.
 
-    A set-similarity join with prefix filter: the tokens of every reading of a value, and of
-    every listed name, are ordered by their global rarity (occurrences in the list; a token that
-    is not in the list is the rarest and can match nothing). Two sets whose Jaccard similarity
-    reaches the threshold must share a token among the first |x| - ceil(t |x|) + 1, so only
-    those are joined; pairs are dropped by length and by position, counted once (at their first
-    common prefix token), and verified by their exact Jaccard similarity. Of the verified pairs
-    an edit check takes those that can be the same name, and the one with the fewest edits, then
-    the highest similarity stays. If two entries are equally near, the value means neither (-1).
+    A join with prefix filter that finds every pair the edit check can take: the counted letters
+    of a value's readings and of a listed name (whole, and without its kind of place) are ordered
+    by their rarity in the list. Names k edits apart lack at most k of each other's letters, so
+    they share one of their k + 1 rarest; pairs are dropped by their common letters, counted once
+    (at their first common prefix letter), and judged as a whole. A value with abbreviations has
+    some letters of the name only, so its rarest are looked up among all of the name's. Of the
+    pairs that can be the same name (and whose Jaccard similarity is at least ``threshold``) the
+    one with the fewest edits, then the highest similarity stays. If two entries are equally
+    near, the value means neither (-1).
 
     Null and blank values are not mapped; a null field has no entries, so its values get -1. An entry with a null name is left out, one with a null
     alternative has one name. With an empty list everything gets -1.
@@ -96,37 +148,35 @@ def map_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD
     # Decoration words that belong to listed names are kept in the values. At most |DECORATION| words come to the driver.
     own_words = listed.select(F.explode(F.split(F.lower("name"), r"[\s.-]+")).alias("w")).where(F.col("w").isin(*DECORATION)).distinct()
     keep = frozenset(row.w for row in own_words.collect())
-    # The global order of the tokens. Their universe is finite (see tokens), so a few thousand counts a field come to the driver.
-    plain = listed.select("field", F.explode(_sets(keep, {}, threshold)("field", "name")).alias("s")).select("field", F.explode("s.ordered").alias("t"))
-    order: dict[str, dict[int, int]] = {}
-    for row in plain.groupBy("field", "t").count().collect():
-        order.setdefault(row.field, {})[row.t] = row["count"]
-    sets = _sets(keep, order, threshold)
+    # The global order of the letters, some hundred counts a field and sort: they come to the driver.
+    plain = listed.select("field", F.explode(_forms(name_forms, keep, {})("field", "name")).alias("s")).select("field", "s.sort", F.explode("s.ordered").alias("t"))
+    order: dict[tuple[str, str], dict[int, int]] = {}
+    for row in plain.groupBy("field", "sort", "t").count().collect():
+        order.setdefault((row.field, row.sort), {})[row.t] = row["count"]
     # Distinct values are few bytes and much work, so they are dealt to all cores whatever their size.
     spark = values.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = (
         values.repartition(parts, "field", "value")
-        .select("field", "value", F.explode(sets("field", "value")).alias("s"))
-        .select("field", "value", F.col("s.reading").alias("reading"), F.col("s.ordered").alias("ordered"), F.col("s.prefix").alias("prefix"))
-        .select("*", F.posexplode("prefix").alias("i", "token"))
+        .select("field", "value", F.explode(_forms(value_forms, keep, order)("field", "value")).alias("s"))
+        .select("field", "value", F.col("s.sort").alias("sort"), F.col("s.ordered").alias("ordered"), F.col("s.prefix").alias("prefix"), F.col("s.lacks").alias("lacks"))
+        .select("*", F.explode("prefix").alias("token"))
     )
     right = (
-        listed.select("field", "canon_id", "name", F.explode(sets("field", "name")).alias("s"))
-        .select("field", "canon_id", "name", F.col("s.reading").alias("listed"), F.col("s.ordered").alias("ordered_y"), F.col("s.prefix").alias("prefix_y"))
-        .select("*", F.posexplode("prefix_y").alias("j", "token"))
+        listed.select("field", "canon_id", "name", F.explode(_forms(name_forms, keep, order)("field", "name")).alias("s"))
+        .select("field", "canon_id", "name", F.col("s.sort").alias("sort"), F.col("s.ordered").alias("ordered_y"), F.col("s.prefix").alias("prefix_y"), F.col("s.lacks").alias("lacks_y"))
+        .select("*", F.explode("prefix_y").alias("token"))
     )
-    n, m = F.size("ordered"), F.size("ordered_y")
+    common = F.size(F.array_intersect("ordered", "ordered_y"))
     pairs = (
-        left.join(right, ["field", "token"])
-        .where((m >= n * threshold) & (n >= m * threshold))
-        .where(1 + F.least(n - F.col("i") - 1, m - F.col("j") - 1) >= (n + m) * (threshold / (1 + threshold)) - F.least("i", "j"))
+        left.join(right, ["field", "sort", "token"])
+        .where((common >= F.size("ordered") - F.least("lacks", F.when(F.col("sort") == "part", F.col("lacks")).otherwise(F.col("lacks_y")))) & (common >= F.size("ordered_y") - F.col("lacks_y")))
         .where(F.get(F.array_intersect("prefix", "prefix_y"), F.lit(0)) == F.col("token"))
+        .select("field", "value", "canon_id", "name")
+        .distinct()
     )
-    common = F.size(F.array_intersect("ordered", "ordered_y"))
-    verified = pairs.withColumn("similarity", common / (n + m - common)).where(F.col("similarity") >= threshold)
-    judged = verified.select("field", "value", "canon_id", "similarity", _cost("reading", "listed", "value", "name").alias("cost")).where(F.col("cost").isNotNull())
-    per_entry = judged.groupBy("field", "value", "canon_id").agg(F.min(F.struct("cost", (-F.col("similarity")).alias("unlike"))).alias("near"))
+    judged = pairs.select("field", "value", "canon_id", _judged(keep)("value", "name").alias("near")).where(F.col("near.cost").isNotNull() & (-F.col("near.unlike") >= threshold))
+    per_entry = judged.groupBy("field", "value", "canon_id").agg(F.min("near").alias("near"))
     best = per_entry.groupBy("field", "value").agg(F.min("near").alias("near"), F.min_by("canon_id", "near").alias("canon_id"), F.collect_list("near").alias("all"))
     tied = F.size(F.filter("all", lambda x: x == F.col("near"))) > 1
     return best.select("field", "value", F.when(tied, F.lit(-1)).otherwise(F.col("canon_id")).cast("long").alias("canon_id"), "near.cost", (-F.col("near.unlike")).alias("similarity"))

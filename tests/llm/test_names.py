@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corvine.llm.canonical import THRESHOLD, map_rows, map_values, tokens
+from corvine.llm.canonical import THRESHOLD, judge, map_rows, map_values, tokens
 from corvine.llm.spelling import KINDS, cost, osa, readings, skeleton
 
 LIST = [
@@ -67,6 +67,50 @@ def test_prefix_filter_loses_nothing(spark):
     assert all(found[k] in v or found[k] == -1 for k, v in expected.items())
 
 
+def test_short_names_without_their_kind(spark):
+    canon = _canon(spark, [(1, "region", "Острова Мирт", None), (2, "region", "Побережье Фенты", None), (3, "region", "Долина Асмары", None), (4, "winery", "Церфиут", None), (5, "winery", "Velmont Hills", None)])
+    meant = {("region", "Мирт"): 1, ("region", "Фенты"): 2, ("region", "о. Мирт"): 1, ("region", "п. Фенты"): 2, ("region", "Асмары"): 3, ("winery", "Целфнут"): 4, ("winery", "Цервиуг"): 4, ("winery", "V. Hills"): 5, ("region", "Мопс"): -1, ("region", "Острова"): -1}
+    df = spark.createDataFrame(list(meant), "field string, value string")
+    found = {(r.field, r.value): r.canon_id for r in map_values(df, canon).collect()}
+    assert {k: found.get(k, -1) for k in meant} == meant
+
+
+def test_candidates_are_complete(spark):
+    """Without a floor: exactly the pairs that the rule takes, against all pairs, with kinds left out, abbreviations and swaps."""
+    rng = random.Random(11)
+    names = [*LIST, (6, "region", "Острова Мирт", None), (7, "region", "Побережье Фенты", None), (8, "winery", "Церфиут", "Cerfiut")]
+    values = set()
+    for _, field, name, _ in names:
+        for _ in range(25):
+            words = name.split(" ")
+            if len(words) > 1 and rng.random() < 0.4:
+                words.pop(rng.randrange(len(words)))
+            words = [w[: rng.randint(1, 3)] + "." if rng.random() < 0.2 else w for w in words]
+            rng.shuffle(words)
+            word = list(" ".join(words))
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(word))
+                if rng.random() < 0.4:
+                    word[at : at + 2] = word[at : at + 2][::-1]
+                else:
+                    word[at : at + rng.randint(0, 1)] = rng.choice("абвгдеиклмнорстуф")
+            values.add((field, "".join(word)))
+    values = {v for v in values if v[1].strip()}
+    want = {}
+    for field, value in values:
+        near = {}
+        for canon_id, f, name, alt in names:
+            found = [n for listed in (name, alt) if f == field and listed and (n := judge(value, listed))]
+            if found:
+                near[canon_id] = min(found)
+        if near:
+            best = [c for c, n in near.items() if n == min(near.values())]
+            want[field, value] = best[0] if len(best) == 1 else -1
+    df = spark.createDataFrame(sorted(values), "field string, value string")
+    found = {(r.field, r.value): r.canon_id for r in map_values(df, _canon(spark, names)).collect()}
+    assert len(want) > 100 and found == want
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "abd", 1), ("abc", "ab", 1), ("abc", "xyz", 3), ("", "ab", 2)])
 def test_edits(a, b, n):
     assert osa(a, b, 5) == n and osa(a, b, 0) == min(n, 1)
