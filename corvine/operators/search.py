@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvine.functions.tokens import TOKEN_MATCH, decided_similarity, difflib_ratio, undecided
+from corvine.functions.tokens import FUZZY_GAP, FUZZY_MIN, PREFIX_MIN, TOKEN_MATCH, decided_similarity, difflib_ratio, undecided
 
 
 def document_frequency(docs: DataFrame, key: list[str], token: str = "token") -> DataFrame:
@@ -27,29 +27,50 @@ def token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+#: Letters of Latin words, the rare ones first: any order is right, a good one makes few pairs.
+_RARE_FIRST = "0123456789qxwjfbhczgpyumdkvslternoia"
+
+
+def _letter_keys(words: DataFrame, name: str, other: str, bound: float) -> DataFrame:
+    """Keys that two words with a ratio of at least ``bound`` share: ``name``, n_name, n_other, one, two.
+
+    Their matching blocks hold at least bound / 2 of all their letters, so as sets of counted letters
+    in one order the first n - that number + 2 of each have two in common. ``n_other``: each length the other word may have.
+    """
+    c = F.col(name)
+    at = lambda i: F.substring(c, i, F.lit(1))
+    nth = lambda i: i - F.length(F.replace(F.substring(c, F.lit(1), i), at(i), F.lit("")))
+    counted = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.named_struct(F.lit("rank"), F.position(at(i), F.lit(_RARE_FIRST)) - 12 * nth(i), F.lit("letter"), F.concat(at(i), nth(i).cast("string"))))
+    n, m = F.col(f"n_{name}"), F.col(f"n_{other}")
+    lengths = words.where(F.length(c) >= FUZZY_MIN).select(
+        name, F.length(c).alias(f"n_{name}"), F.transform(F.array_sort(counted), lambda x: x["letter"]).alias("letters"), F.explode(F.sequence(F.greatest(F.length(c) - FUZZY_GAP, F.lit(FUZZY_MIN)), F.length(c) + FUZZY_GAP)).alias(f"n_{other}")
+    )
+    needed = F.ceil(bound / 2 * (n + m) - 1e-9).cast("int")
+    first = lengths.where(needed <= n).withColumn("letters", F.slice("letters", F.lit(1), n - needed + 2))
+    ones = first.select(name, n, m, "letters", F.posexplode("letters").alias("i", "one"))
+    return ones.select(name, n, m, "one", F.explode(F.slice("letters", F.col("i") + 2, F.size("letters"))).alias("two"))
+
+
 def linked_tokens(vocabulary: DataFrame, queries: DataFrame, bound: float = TOKEN_MATCH) -> DataFrame:
     """token, query, similarity of words that read alike. Both sides: one distinct column ``token``.
 
-    A query that is itself a word of the vocabulary only means that word. Other pairs are joined
-    on a shared pair of letters and one of three lengths; only pairs that their lengths leave
-    undecided reach the ratio, once for each pair of distinct words.
+    A query that is itself a word of the vocabulary only means that word. Of other pairs all that
+    reach the bound are found: beginnings of much longer words by their first letters, the rest by
+    two shared rare letters for each pair of lengths. Only pairs that their lengths leave undecided
+    reach the ratio, once for each pair of distinct words.
     """
     known = queries.join(vocabulary, "token").select("token", F.col("token").alias("query"), F.lit(1.0).alias("similarity"))
     unknown = queries.join(vocabulary, "token", "left_anti").select(F.col("token").alias("query"))
 
-    def grams(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-
-    v = vocabulary.select("token", F.explode(grams(F.col("token"))).alias("gram"))
-    q = unknown.select("query", F.explode(grams(F.col("query"))).alias("gram"))
-    pairs = v.join(q, "gram").select("token", "query").distinct()
-    decided = decided_similarity(F.col("token"), F.col("query"))
+    begin = lambda df, c: df.where(F.length(c) >= PREFIX_MIN).select(c, F.substring(c, 1, PREFIX_MIN).alias("begin"))
+    begins = begin(vocabulary, "token").join(begin(unknown, "query"), "begin").select("token", "query", decided_similarity(F.col("token"), F.col("query")).alias("similarity"))
     # matched blocks are a common subsequence, so a ratio of at least the bound leaves no more edits than this
     edits = (1 - bound) * (F.length("token") + F.length("query"))
     close = undecided(F.col("token"), F.col("query")) & (F.levenshtein("token", "query") <= edits)
     # rows are filtered before the Python function, which would else see all of them
-    rated = pairs.where(decided.isNull() & close).repartition("token", "query").withColumn("similarity", difflib_ratio("token", "query"))
-    near = pairs.withColumn("similarity", decided).unionByName(rated)
+    pairs = _letter_keys(vocabulary, "token", "query", bound).join(_letter_keys(unknown, "query", "token", bound), ["n_token", "n_query", "one", "two"]).where(close).select("token", "query").distinct()
+    rated = pairs.repartition("token", "query").withColumn("similarity", difflib_ratio("token", "query"))
+    near = begins.where(F.col("similarity").isNotNull()).unionByName(rated)
     return known.unionByName(near.where(F.col("similarity") >= bound))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -78,3 +79,28 @@ def test_field_search_needs_two_words_or_a_rare_one(spark):
     queries = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "c")], "query_id long, token string")
     found = {(r.query_id, r.value) for r in field_search(values, queries, common=1.5).collect()}
     assert (1, "a b") not in found and {(2, "a b"), (3, "a c")} <= found
+
+
+def test_fuzzy_links_of_swapped_and_misread_letters(spark):
+    """Words of 5 to 14 letters with swapped, changed and lost letters, against all pairs; some share no three letters in a row."""
+    rng = random.Random(3)
+    known = ["usadba", "bodega", "kuvshin", "kruskivel", "gryada", "taman", "arfituk", "vinogradnik", "shampanskiye", "kolodets", "gornyy", "dolmarskaya", "konstantinov"]
+    unknown = {"usdaba", "boedga", "kushvin", "krskviel", "grdyaa"}
+    for word in known:
+        for _ in range(60):
+            letters = list(word)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(letters) - 1)
+                kind = rng.randrange(3)
+                if kind == 0:
+                    letters[at : at + 2] = letters[at : at + 2][::-1]
+                else:
+                    letters[at : at + kind - 1] = rng.choice("abdegiklnorst")
+            unknown.add("".join(letters))
+    unknown -= set(known)
+    expected = {(a, b) for a in known for b in unknown if abs(len(a) - len(b)) <= 2 and min(len(a), len(b)) >= 5 and SequenceMatcher(None, a, b).ratio() >= 0.82}
+    grams = lambda w: {w[i : i + 3] for i in range(len(w) - 2)}
+    assert sum(not grams(a) & grams(b) for a, b in expected) >= 5
+    frame = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "token string")
+    found = {(r.token, r["query"]) for r in linked_tokens(frame(known), frame(unknown)).collect()}
+    assert found == expected
