@@ -74,8 +74,8 @@ def linked_tokens(vocabulary: DataFrame, queries: DataFrame, bound: float = TOKE
     return known.unionByName(near.where(F.col("similarity") >= bound))
 
 
-def field_search(values: DataFrame, queries: DataFrame, links: DataFrame | None = None, k: int = 5, common: float = 2.0, allow_single: bool = False) -> DataFrame:
-    """The ``k`` values that each query text means best: query_id, value, score, rank.
+def field_search(values: DataFrame, queries: DataFrame, links: DataFrame | None = None, k: int | None = 5, common: float = 2.0, allow_single: bool = False) -> DataFrame:
+    """The ``k`` values (all, if None) that each query text means best: query_id, value, score, rank.
 
     ``values``: value, token; ``queries``: query_id, token (both distinct); ``links``: token,
     query, similarity of words that count as the same (by default equal words only).
@@ -103,7 +103,8 @@ def field_search(values: DataFrame, queries: DataFrame, links: DataFrame | None
         found = found.where((F.col("n") >= 2) | (F.col("rarest") >= common))
     scored = found.join(pool, "query_id").join(whole, "value").select("query_id", "value", F.round(F.col("matched") / F.col("pool") * F.col("matched") / F.col("value_weight"), 4).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "value")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ordered = scored.withColumn("rank", F.row_number().over(order))
+    return ordered if k is None else ordered.where(F.col("rank") <= k)
 
 
 def cooccurring(pairs: DataFrame, min_count: int = 2, min_share: float = 0.3) -> DataFrame:

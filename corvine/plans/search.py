@@ -34,10 +34,15 @@ def token_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("left_id", "right_id", "n_shared", F.round(0.8 * F.col("coverage") + 0.2 * F.col("precision"), 6).alias("score"))
 
 
+def document_wineries(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
+    """The best ``k`` listed wineries that each document names, or all of them."""
+    values = _tokens(_wineries(spark, sf_dir), "canon_value", F.col("canon_value"), "value")
+    return field_search(values, _tokens(load(spark, sf_dir, "documents"), "doc_id", F.col("text"), "query_id"), k=k)
+
+
 def field_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed wineries that each document names, best five."""
-    values = _tokens(_wineries(spark, sf_dir), "canon_value", F.col("canon_value"), "value")
-    return field_search(values, _tokens(load(spark, sf_dir, "documents"), "doc_id", F.col("text"), "query_id"))
+    return document_wineries(spark, sf_dir, 5)
 
 
 def field_search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:

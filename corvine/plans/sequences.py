@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine.functions.text import slug_key
 from corvine.operators.evaluation import answer_quality, hits_at, spread
 from corvine.operators.sequences import alternating, anchored_limit, assign_once, changed, nearest_rank, ordered_union, within_budget
-from corvine.plans.search import field_search_exact
+from corvine.plans.search import document_wineries
 from corvine.session import ship_package
 from corvine.sources.tables import load
 from corvine.streaming.events import file_stream, limited, run_once, tumbling
@@ -72,8 +72,8 @@ def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document, in order, gets the best winery that no earlier one took."""
-    hits = field_search_exact(spark, sf_dir)
+    """Each document, in order, gets the best winery that no earlier one took, out of all that it names."""
+    hits = document_wineries(spark, sf_dir, None)
     return assign_once(hits.select(F.col("query_id").alias("left"), F.col("value").alias("right"), "score"))
 
 

@@ -50,6 +50,16 @@ def test_assign_once_is_the_sequential_choice(spark):
     assert {r.left: r.right for r in assign_once(df).collect()} == expected
 
 
+def test_unique_assignment_looks_beyond_the_best_five(spark, tmp_path):
+    """Seven documents that name the same seven wineries take one each."""
+    from corvine.plans.sequences import unique_assignment
+
+    names = ["Арфитук", "Дорвинласия", "Велмонт", "Гурзанский", "Церфиут", "Тамринский", "Колодезный"]
+    spark.createDataFrame([(i, "winery", n) for i, n in enumerate(names)], "canon_id long, field string, canon_value string").write.parquet(str(tmp_path / "canonical_values.parquet"))
+    spark.createDataFrame([(i, " ".join(names)) for i in range(7)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.left: r.right for r in unique_assignment(spark, str(tmp_path)).collect()} == dict(enumerate(sorted(names)))
+
+
 def test_nearest_rank(spark):
     for values in ([5], list(range(10)), [3, 1, 2, 2, 9]):
         got = nearest_rank(spark.createDataFrame([(float(v),) for v in values], "x double"), "x", 0.95).collect()[0].value
