@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,27 @@ from corvine.session import ensure_checkpoint_dir
 
 
 def limited(stream: DataFrame, key: str, time: str, row_id: str, seconds: float, limit: int) -> DataFrame:
-    """The anchored limit on a stream: row_id, is_allowed. The state of a key is its window's begin and count."""
+    """The anchored limit on a stream: row_id, is_allowed. The state of a key is its window's begin and count.
+
+    The rows that a key has in one micro-batch arrive in chunks of no order: they are put in order of
+    time as a whole, two numbers a row in memory. A later micro-batch is taken as it arrives.
+    """
     rows = stream.select(F.col(key).cast("long").alias("key"), F.col(time).cast("timestamp").alias("time"), F.col(row_id).cast("long").alias("row_id"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         begin, used = state.get if state.exists else (None, 0)
-        for batch in batches:
-            batch = batch.sort_values(["time", "row_id"])
+        parts = [(b["time"].astype("int64").to_numpy() // 1000, b["row_id"].to_numpy()) for b in batches]
+        times, ids = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((ids, times))
+        for at in range(0, len(order), 10_000):
+            chunk = order[at : at + 10_000]
             allowed = []
-            for now in batch["time"].astype("int64") // 1000:
+            for now in times[chunk].tolist():
                 if begin is None or now >= begin + int(seconds * 1e6):
-                    begin, used = int(now), 0
+                    begin, used = now, 0
                 allowed.append(used < limit)
                 used += allowed[-1]
-            yield pd.DataFrame({"row_id": batch["row_id"], "is_allowed": allowed})
+            yield pd.DataFrame({"row_id": ids[chunk], "is_allowed": allowed})
         state.update((begin, used))
 
     return rows.groupBy("key").applyInPandasWithState(step, "row_id long, is_allowed boolean", "begin long, used int", "append", GroupStateTimeout.NoTimeout)

@@ -86,6 +86,22 @@ def test_streams(spark, tmp_path):
     assert counts[0] == 9 and sum(counts.values()) < 60
 
 
+def test_limited_stream_does_not_depend_on_chunks(spark, tmp_path):
+    """One key in several Arrow chunks, latest rows first."""
+    rows = [(1, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=7 * i), i) for i in reversed(range(60))]
+    schema = "user_id long, ts timestamp, event_id long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        got = {r.row_id: r.is_allowed for r in run_once(limited(spark.readStream.schema(schema).parquet(str(tmp_path / "e")), "user_id", "ts", "event_id", 60, 2)).collect()}
+    finally:
+        spark.conf.set(size, before)
+    want = {r.event_id: r.is_allowed for r in anchored_limit(spark.read.parquet(str(tmp_path / "e")), "user_id", "ts", "event_id", 60, 2).collect()}
+    assert got == want
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text('\ufeff Slug ,Name\na," x\ny "\n ,""\n', encoding="utf-8")
     assert [tuple(r) for r in read_table_text(spark, str(tmp_path / "c.csv"), {"Slug": "slug", "Name": "name"}).collect()] == [("a", "x\ny"), (None, None)]
