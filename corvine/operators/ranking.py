@@ -121,3 +121,10 @@ def identified(checks: DataFrame, least_visual: float = 0.25) -> DataFrame:
 def grapes_fit(spelt: Column, own: Column) -> Column:
     """Whether every word of at least one spelt-out grape (array of arrays) is among the item's own words; true if none is spelt out."""
     return (F.size(spelt) == 0) | F.exists(spelt, lambda grape: F.size(F.array_except(grape, own)) == 0)
+
+
+def spelt_out(read: DataFrame, label: DataFrame, scan: str, value: str) -> DataFrame:
+    """scan, value, needed of the readings whose words (array ``needed``, at least one) all stand on the scan's label. ``label``: scan, word (distinct)."""
+    asked = read.select(scan, value, "needed").distinct()
+    found = asked.select(scan, value, F.explode("needed").alias("word")).join(label, [scan, "word"]).groupBy(scan, value).agg(F.count("*").alias("__n"))
+    return asked.join(found, [scan, value]).where(F.col("__n") == F.size("needed")).select(scan, value, "needed")

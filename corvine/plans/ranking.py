@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine.functions.text import clean
 from corvine.functions.tokens import vintage, words
 from corvine.operators.catalog import keep_first
-from corvine.operators.ranking import TEMPERATURE, TOTAL, WEIGHTS, contributions, decide, distribution, evidence, grapes_fit, identified, name_checks, only_value, ranked, seen_tokens
+from corvine.operators.ranking import TEMPERATURE, TOTAL, WEIGHTS, contributions, decide, distribution, evidence, identified, name_checks, only_value, ranked, seen_tokens, spelt_out
 from corvine.operators.search import linked_tokens
 from corvine.session import cut, ship_package
 from corvine.sources.tables import load
@@ -88,14 +88,19 @@ def debug_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ten.groupBy("scan_id", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), " > ").alias("trace"))
 
 
+def _label(spark: SparkSession, sf_dir: str, scans: DataFrame, **options) -> DataFrame:
+    """scan_id, query: the distinct words read from the labels of some scans."""
+    read = _read(spark, sf_dir).where("field in ('name', 'winery', 'grape_varieties') and score >= 0.3").join(scans, "scan_id", "left_semi")
+    return read.select("scan_id", F.explode(words(F.col("value"), **options)).alias("query")).distinct()
+
+
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the five best names of each scan, and whether a reading of the scan shows them."""
     ship_package(spark)
     # used four times below: written once
     five = cut(ranked(verify_precedence(spark, sf_dir), "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "name", "winery"))
     names = five.select("scan_id", "slug", F.explode(words(F.concat_ws(" ", "name", "winery"), min_length=5)).alias("token"))
-    read = _read(spark, sf_dir).where("field in ('name', 'winery', 'grape_varieties') and score >= 0.3").join(five.select("scan_id").distinct(), "scan_id", "left_semi")
-    label = cut(read.select("scan_id", F.explode(words(F.col("value"), min_length=5)).alias("query")).distinct())
+    label = cut(_label(spark, sf_dir, five.select("scan_id").distinct(), min_length=5))
     links = linked_tokens(names.select("token").distinct(), label.select(F.col("query").alias("token")).distinct())
     return seen_tokens(names, label, links, "scan_id", "slug")
 
@@ -111,12 +116,14 @@ def grape_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortlisted items that carry one of the grapes the label spells out (or where it spells out none)."""
     w = load(spark, sf_dir, "catalog_wines").where("slug is not null").groupBy(clean(F.col("slug")).alias("slug")).agg(F.min_by(F.struct("name", "grape_varieties"), "row_id").alias("f"))
     own = w.select("slug", words(F.concat_ws(" ", "f.name", "f.grape_varieties")).alias("own"))
-    read = _read(spark, sf_dir).where("field = 'grape_varieties' and pos <= 3 and value is not null").groupBy("scan_id", "value").agg(F.max("score").alias("evidence"))
-    # at most three grapes a scan
-    spelt = ranked(read, "scan_id", "value", F.lit(False), 3).groupBy("scan_id").agg(F.collect_list(words(F.col("value"))).alias("spelt"))
-    five = ranked(verify_precedence(spark, sf_dir), "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug")
+    five = cut(ranked(verify_precedence(spark, sf_dir), "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug"))
+    scans = five.select("scan_id").distinct()
+    read = _read(spark, sf_dir).where("field = 'grape_varieties' and value is not null").join(scans, "scan_id", "left_semi")
+    label = _label(spark, sf_dir, scans).withColumnRenamed("query", "word")
+    spelt = spelt_out(read.select("scan_id", "value", words(F.col("value")).alias("needed")), label, "scan_id", "value")
+    carries = F.when(F.col("needed").isNotNull(), F.size(F.array_except("needed", "own")) == 0)
     joined = five.join(own, "slug").join(spelt, "scan_id", "left")
-    return joined.select("scan_id", "slug", grapes_fit(F.coalesce("spelt", F.expr("cast(array() as array<array<string>>)")), F.col("own")).alias("fits"))
+    return joined.groupBy("scan_id", "slug").agg(F.coalesce(F.bool_or(carries), F.lit(True)).alias("fits"))
 
 
 QUERIES = {f.__name__: f for f in (softmax_field, single_readings, evidence_fusion, verify_precedence, rank_order, rank_decide, shortlist_union, recommend_related, score_parts, debug_trace, label_checks, grape_checks)}

@@ -33,3 +33,15 @@ def test_identified_and_grapes(spark):
     assert all(r.is_identified == r.expected for r in identified(df).collect())
     g = spark.createDataFrame([([["pinot", "noir"]], ["pinot"], False), ([["pinot"], ["syrah"]], ["syrah"], True), ([], [], True)], "s array<array<string>>, o array<string>, e boolean")
     assert all(r.x == r.e for r in g.select(grapes_fit(F.col("s"), F.col("o")).alias("x"), "e").collect())
+
+
+def test_grape_checks_takes_every_grape_the_label_spells_out(spark, tmp_path):
+    from corvine.plans.ranking import grape_checks
+
+    grapes = ["Каберне", "Мерло", "Мальбек", "Рислинг", "Саперави"]
+    rows = [("s", "name", 1, "Звезда", 0.9), ("s", "winery", 1, "Арфитук", 0.9), *(("s", "grape_varieties", i + 1, g, 0.9 - i / 10) for i, g in enumerate(grapes)), ("t", "name", 1, "Звезда", 0.9), ("t", "winery", 1, "Арфитук", 0.9), ("t", "grape_varieties", 1, "Мерло", 0.1)]
+    spark.createDataFrame(rows, "scan_id string, field string, pos int, value string, score double").write.parquet(str(tmp_path / "field_candidates.parquet"))
+    wines = [(1, "a", "Звезда", "Арфитук", None, "Красное", True, "Саперави"), (2, "b", "Звезда", "Арфитук", None, "Красное", True, "Пино Нуар")]
+    spark.createDataFrame(wines, "row_id long, slug string, name string, winery string, region string, category string, is_active boolean, grape_varieties string").write.parquet(str(tmp_path / "catalog_wines.parquet"))
+    found = {(r.scan_id, r.slug): r.fits for r in grape_checks(spark, str(tmp_path)).collect()}
+    assert found == {("s", "a"): True, ("s", "b"): False, ("t", "a"): True, ("t", "b"): True}
