@@ -42,12 +42,12 @@ def limited(stream: DataFrame, key: str, time: str, row_id: str, seconds: float,
 
 
 def tumbling(stream: DataFrame, time: str, by: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Rows and sum of values of each window and kind; rows later than the watermark are dropped."""
+    """Rows and sum of values of each window and kind; rows later than the watermark are dropped. A window is given out once the watermark has passed its end: those that end after the latest time less ``late`` stay open."""
     return stream.withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything there is through the stream into a table of the shared folder, which is returned."""
+    """Everything there is through the stream into a table of the shared folder, which is returned. In append mode windows that the watermark has not passed at the end are missing."""
     spark: SparkSession = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
