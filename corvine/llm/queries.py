@@ -29,14 +29,13 @@ def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_rows(_typed_names(spark, sf_dir), load(spark, sf_dir, "canonical_values"))
+    return map_rows(_typed_names(spark, sf_dir), load(spark, sf_dir, "canonical_values")).select("src_table", "src_id", "field", "canon_id")
 
 
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each written value without a listed entry occurs."""
-    rows = _typed_names(spark, sf_dir)
-    lost = p5_found(spark, sf_dir).where(F.col("canon_id") == -1)
-    return rows.join(lost, ["src_table", "src_id", "field"]).groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+    mapped = map_rows(_typed_names(spark, sf_dir), load(spark, sf_dir, "canonical_values"))
+    return mapped.where(F.col("canon_id") == -1).groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 
 def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:

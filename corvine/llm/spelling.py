@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
 
 _LAYOUT = str.maketrans(
     "qwertyuiop[]asdfghjkl;'zxcvbnm,.`",
@@ -18,8 +17,7 @@ _LAYOUT = str.maketrans(
 )
 #: Latin letters and digits that look like Cyrillic ones; upper case first, as B looks like В but b like ь.
 _LOOKS_UPPER = str.maketrans("ABCEHKMOPTXYU", "АВСЕНКМОРТХУИ")
-_LOOKS_LOWER = str.maketrans("abcehkmoprtuxyn03684", "авсенкмоггтихупозбвч")
-_LOOKS_LOWER[ord("p")] = "р"
+_LOOKS_LOWER = str.maketrans("abcehkmoprtuxyn03684", "авсенкморгтихупозбвч")
 _LATIN_DIGITS = str.maketrans("01385", "olebs")
 _CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "j", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m",
@@ -31,17 +29,7 @@ _LATIN = (
     ("shch", "X"), ("sch", "X"), ("sh", "X"), ("ch", "Q"), ("zh", "J"), ("kh", "h"), ("ts", "C"), ("tc", "C"), ("ck", "k"), ("ph", "f"),
     ("ya", "Y"), ("ia", "Y"), ("ja", "Y"), ("yu", "W"), ("iu", "W"), ("ju", "W"), ("yo", "e"), ("jo", "e"), ("x", "ks"), ("w", "v"), ("q", "k"), ("c", "k"), ("y", "i"), ("j", "i"),
 )
-#: Words of trade, law and labels around a name.
-DECORATION = frozenset(
-    "тм ао ооо зао пао оао ип кфх гк llc ltd inc gmbh sa srl вино вина винодельня winery производитель россия рф регион знмп згу ск знп"
-    " белое красное розовое оранжевое сухое полусухое сладкое полусладкое брют игристое".split()
-)
-_PHRASES = re.compile(r"\bвинный дом\b|\bг\. ?о\.|\b\d+(?:[.,]\d+)? ?(?:л|l|мл|ml)\b|\b(?:19|20)\d\d\b|\b\d+(?:[.,]\d+)? ?%")
-#: Kinds of places, which a writer may leave out.
-KINDS = frozenset(
-    "долина берег полуостров нагорье область край дельта равнина остров острова предгорье предгорья район плато республика низовье низовья холмы"
-    " хребет побережье кряж котловина".split()
-)
+_RUN = re.compile(r"[^\W_]+")
 _SHORT = re.compile(r"^\w{1,2}-\w{1,3}$")
 
 
@@ -65,17 +53,36 @@ def skeleton(word: str) -> str:
     return re.sub("[^a-z0-9]", "", re.sub("i{2,}", "i", out))
 
 
-def _words(text: str, keep: frozenset) -> list[str]:
-    """Words without decoration (unless nothing else is left); a word with a dot or ``x-yy`` behind it is an abbreviation and keeps its mark."""
+def _words(text: str) -> list[str]:
+    """Words of a text; a word with a dot or ``x-yy`` behind it is an abbreviation and keeps its mark."""
     found = []
-    for raw in re.findall(r"[\w'’-]+\.?", _PHRASES.sub(" ", text)):
+    for raw in re.findall(r"[\w'’-]+\.?", text):
         raw = raw.strip("'’-_")
         if _SHORT.match(raw):
             found.append(raw)
         else:
             found += [p for p in re.split(r"[-_]", raw.replace("'", "").replace("’", "")) if p.strip(".")]
-    bare = [w for w in found if w.rstrip(".") not in DECORATION or w.rstrip(".") in keep]
-    return bare or found
+    return found
+
+
+def _variants(plain: str, extra: frozenset, own: frozenset) -> list[str]:
+    """The text without the decoration that no listed name uses, and without the first of each that one does as well; as it is where an abbreviation may have gone or nothing would be left."""
+    if not extra:
+        return [plain]
+    found, once = [], set()
+
+    def bare(m: re.Match) -> str:
+        word = m.group().lower()
+        gone = word in extra and (word not in own or word not in once)
+        once.add(word)
+        return "" if gone else m.group()
+
+    for left in (_RUN.sub(lambda m: "" if m.group().lower() in extra - own else m.group(), plain), _RUN.sub(bare, plain)):
+        if left not in found and _RUN.search(left):
+            found.append(left)
+    if not found or any(m.group(1).lower() in extra for m in re.finditer(r"([^\W_]{1,2})[.-]", plain)):
+        found.append(plain)
+    return found
 
 
 def _marked(word: str) -> str:
@@ -84,39 +91,35 @@ def _marked(word: str) -> str:
     return skeleton(word.rstrip(".")) + "." * word.endswith(".")
 
 
-def readings(text: str | None, keep: frozenset = frozenset()) -> list[str]:
-    """The skeletons ``text`` may stand for, each as words joined by blanks. ``keep``: decoration that is part of some listed name."""
+def readings(text: str | None, extra: frozenset = frozenset(), own: frozenset = frozenset()) -> list[str]:
+    """The skeletons ``text`` may stand for, each as words joined by blanks. ``extra``: words around names; ``own``: those of them that are part of some listed name."""
     if not text or not text.strip():
         return []
-    plain = _plain(text)
-    forms = []
-    if re.search("[а-яА-Я]", plain) or ("ё" in plain.lower() and not re.search("[a-zA-Z]", plain)):
-        numbers_gone = _PHRASES.sub(" ", plain.lower()) != plain.lower()
-        looks = plain if numbers_gone else plain.translate(_LOOKS_UPPER)
-        looks = looks.lower()
-        if re.search("[a-z]", looks) and re.search("[а-яё]", re.sub(r"[a-z]{3,}", "", looks)):
-            pieces = re.split(r"(\b[a-z]+\b)", looks)
-            mixed = "".join(p if i % 2 and len(p) > 2 and not _all_alike(p) else p.translate(_LOOKS_LOWER) for i, p in enumerate(pieces)) if not numbers_gone else looks
-            forms += [mixed, looks.translate(_LOOKS_LOWER) if not numbers_gone else looks]
-            if re.search("[a-z]{3,}", plain.lower()):
-                forms.append(plain.lower())
-        else:
-            forms.append(looks if numbers_gone else re.sub(r"(?<=[а-яё])[03684]|[03684](?=[а-яё])", lambda m: m.group().translate(_LOOKS_LOWER), looks))
-    else:
-        low = plain.lower()
-        forms.append(low)
-        forms.append(low.translate(_LAYOUT))
-        low = low.replace("ё", "`")
-        if re.search(r"\d", low) and re.search("[a-z]", low):
-            forms.append(low.translate(_LOOKS_LOWER))
     out = []
-    for form in forms:
-        words = [m for m in map(_marked, _words(form.replace("ё", "е"), keep)) if m.strip(".-")]
-        if words and (joined := " ".join(words)) not in out:
-            out.append(joined)
+    for plain in _variants(_plain(text), extra, own):
+        for form in _alphabets(plain):
+            words = [m for m in map(_marked, _words(form.replace("ё", "е"))) if m.strip(".-")]
+            if words and (joined := " ".join(words)) not in out:
+                out.append(joined)
     return out
 
 
+def _alphabets(plain: str) -> list[str]:
+    """Lower-case forms of a text in the alphabets and keyboard layouts it may have been typed in."""
+    low = plain.lower()
+    if re.search("[а-я]", low) or ("ё" in low and not re.search("[a-z]", low)):
+        looks = plain.translate(_LOOKS_UPPER).lower()
+        if not (re.search("[a-z]", looks) and re.search("[а-яё]", re.sub(r"[a-z]{3,}", "", looks))):
+            return [re.sub(r"(?<=[а-яё])[03684]|[03684](?=[а-яё])", lambda m: m.group().translate(_LOOKS_LOWER), looks)]
+        pieces = re.split(r"(\b[a-z]+\b)", looks)
+        mixed = "".join(p if i % 2 and len(p) > 2 and not _all_alike(p) else p.translate(_LOOKS_LOWER) for i, p in enumerate(pieces))
+        return [mixed, looks.translate(_LOOKS_LOWER)] + [low] * bool(re.search("[a-z]{3,}", low))
+    forms = [low, low.translate(_LAYOUT)]
+    if re.search(r"\d", low) and re.search("[a-z]", low):
+        forms.append(low.replace("ё", "`").translate(_LOOKS_LOWER))
+    return forms
+
+
 def _all_alike(word: str) -> bool:
     return all(ch in "acekmoptxyhbun" for ch in word)
 
@@ -124,11 +127,11 @@ def _all_alike(word: str) -> bool:
 _SOUNDS = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f h ts ch sh shch  y  e yu ya".split(" ")))
 
 
-def letters(text: str | None) -> str:
-    """The words of ``text`` in lower case without decoration, run together, in Latin letters: for names spelt in Latin a closer form than the skeleton."""
+def letters(text: str | None, extra: frozenset = frozenset(), own: frozenset = frozenset()) -> str:
+    """The words of ``text`` in lower case without the decoration that no listed name uses, run together, in Latin letters: for names spelt in Latin a closer form than the skeleton."""
     if not text:
         return ""
-    word = "".join(w.rstrip(".") for w in _words(_plain(text).lower(), frozenset()))
+    word = "".join(w.rstrip(".") for w in _words(_variants(_plain(text), extra - own, frozenset())[0].lower()))
     return "".join(_SOUNDS.get(ch, ch) for ch in word)
 
 
@@ -138,18 +141,31 @@ def osa(a: str, b: str, limit: int) -> int:
         return 0
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    before, last = [], list(range(len(b) + 1))
+    # only cells within ``limit`` of the diagonal can belong to a way that is short enough
+    far, width = limit + 1, len(b)
+    before, last = [], [min(j, far) for j in range(width + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if min(row) > limit:
-            return limit + 1
+        low, high = max(1, i - limit), min(width, i + limit)
+        row = [far] * (width + 1)
+        if i <= limit:
+            row[0] = i
+        best = row[low - 1]
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            edits = last[j - 1] + (x != y)
+            if last[j] < edits:
+                edits = last[j] + 1
+            if row[j - 1] < edits:
+                edits = row[j - 1] + 1
+            if i > 1 and j > 1 and before[j - 2] < edits and x == b[j - 2] and a[i - 2] == y:
+                edits = min(edits, before[j - 2] + 1)
+            row[j] = edits
+            if edits < best:
+                best = edits
+        if best > limit:
+            return far
         before, last = last, row
-    return last[-1]
+    return min(last[-1], far)
 
 
 def allowed(length: int) -> int:
@@ -166,30 +182,55 @@ def _word_cost(word: str, target: str, limit: int) -> float:
     return osa(word.rstrip("."), target, limit)
 
 
-def cost(reading: str, name: str, kinds: frozenset) -> float | None:
+def least_matching(costs: list[list[float]]) -> tuple[float, bool]:
+    """Least total of a square table with one entry of each row and column, and whether the diagonal has it. Shortest augmenting paths: cubic time."""
+    n = len(costs)
+    diagonal = sum(costs[i][i] for i in range(n))
+    up, down, owner = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)
+    for i in range(n):
+        owner[n], at = i, n
+        slack, back, done = [float("inf")] * n, [n] * n, [False] * (n + 1)
+        while owner[at] != n:
+            done[at] = True
+            row, step, nearest = owner[at], float("inf"), n
+            for j in range(n):
+                if not done[j]:
+                    left = costs[row][j] - up[row] - down[j]
+                    if left < slack[j]:
+                        slack[j], back[j] = left, at
+                    if slack[j] < step:
+                        step, nearest = slack[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    up[owner[j]] += step
+                    down[j] -= step
+                elif j < n:
+                    slack[j] -= step
+            at = nearest
+        while at != n:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    total = sum(costs[owner[j]][j] for j in range(n))
+    return total, diagonal <= total + 1e-9
+
+
+def cost(reading: str, name: str, gone: frozenset = frozenset()) -> float | None:
     """How far ``reading`` is from the listed ``name`` (both skeletons), or None if it cannot mean it.
 
-    Words may stand in any order; a word of ``kinds`` (skeletons) may be missing; blanks may be missing or too many.
+    Words may stand in any order (the cheapest matching of words counts); one word of the name that is in ``gone`` (skeletons) may be missing; blanks may be missing or too many.
     """
     words, target = reading.split(" "), name.split(" ")
-    letters = sum(map(len, target))
-    limit = allowed(letters)
+    limit = allowed(sum(map(len, target)))
     best = float(osa("".join(words).replace(".", "").replace("-", ""), "".join(target), limit))
-    if best > 0 and len(words) <= 5 and len(target) <= 5:
+    options = []
+    if best > 0 and len(words) == len(target):
         options = [target]
-        if len(words) < len(target):
-            options = [[w for k, w in enumerate(target) if k != gone] for gone in range(len(target)) if target[gone] in kinds and len(target) > 1]
-        for option in options:
-            if len(option) != len(words):
-                continue
-            room = allowed(sum(map(len, option)))
-            missing = 0.5 * (len(option) < len(target))
-            for order in set(permutations(words)):
-                total = missing + 0.01 * (list(order) != words)
-                for word, aim in zip(order, option):
-                    total += _word_cost(word, aim, room)
-                    if total > room + 0.99:
-                        break
-                else:
-                    best = min(best, total)
+    elif best > 0 and len(words) + 1 == len(target):
+        options = [target[:i] + target[i + 1 :] for i, w in enumerate(target) if w in gone]
+    for option in options:
+        room = allowed(sum(map(len, option)))
+        total, in_order = least_matching([[_word_cost(word, aim, room) for aim in option] for word in words])
+        total += 0.5 * (len(option) < len(target)) + 0.01 * (not in_order)
+        if total <= room + 0.99:
+            best = min(best, total)
     return best if best < limit + 1 else None
