@@ -19,6 +19,8 @@ from corvine.llm.spelling import allowed, cost, letters, osa, readings, skeleton
 THRESHOLD = 0.0
 #: A word that stands beside so many different listed names is decoration.
 SPREAD = 3
+#: Keys of listed names (some dozen a name, below 1 kB each) up to which the list is sent to every executor; a longer list is shuffled.
+BROADCAST_KEYS = 50_000
 
 _ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0123456789"
 _SIGN = {ch: i for i, ch in enumerate(_ALPHABET)}
@@ -231,6 +233,9 @@ def map_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD
         )
         .select("*", F.explode("keys_y").alias("key"))
     )
+    right = cut(right)
+    if right.count() <= BROADCAST_KEYS:
+        right = F.broadcast(right)
     common = F.size(F.array_intersect("ordered", "ordered_y"))
     least = F.greatest(F.size("ordered") - F.least("lacks", F.when(F.col("sort") == "part", F.col("lacks")).otherwise(F.col("lacks_y"))), F.size("ordered_y") - F.col("lacks_y"))
     pairs = (
