@@ -10,8 +10,6 @@ from functools import lru_cache
 
 import numpy as np
 
-from corvine.llm.abuse_seeds import HARMLESS, OFFENSIVE
-
 BUCKETS = 1 << 18
 DIM = 12
 #: Words of a window; longer sentences are scored in windows that overlap by half.
@@ -46,18 +44,16 @@ def word_form(word: str) -> str:
     return _RUNS.sub(r"\1", bare.replace("ё", "е"))
 
 
+def _sentence(sentence: str) -> list[tuple[str, ...]]:
+    words = tuple(f for f in map(word_form, _WORD.findall(sentence)) if f)
+    if len(words) <= WINDOW:
+        return [words] if words else []
+    return [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+
+
 def windows(text: str | None) -> list[tuple[str, ...]]:
     """The word forms of each sentence of the text, long sentences in overlapping windows."""
-    if not text:
-        return []
-    found = []
-    for sentence in _SENTENCE.split(plain(text)):
-        words = tuple(f for f in map(word_form, _WORD.findall(sentence)) if f)
-        if len(words) <= WINDOW:
-            found.append(words)
-        else:
-            found += [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
-    return [w for w in found if w]
+    return [w for sentence in _SENTENCE.split(plain(text)) for w in _sentence(sentence)] if text else []
 
 
 def _slot(feature: str) -> int:
@@ -88,6 +84,7 @@ class Classifier:
         self.weights, self.bias = weights, bias
         self._words: dict[str, tuple[float, int]] = {}
         self._pairs: dict[tuple[str, str], float] = {}
+        self._sentences: dict[str, float] = {}
 
     def window(self, words: tuple[str, ...]) -> float:
         total, n = 0.0, 0
@@ -110,53 +107,72 @@ class Classifier:
         n += len(words) - 1
         return total / n + self.bias
 
+    def _worst(self, sentence: str) -> float:
+        """Highest logit of the windows of a sentence; standard phrases and copied texts repeat, so the last ones are kept."""
+        known = self._sentences.get(sentence)
+        if known is None:
+            known = max(map(self.window, _sentence(sentence)), default=-np.inf)
+            if len(sentence) <= 1_000:
+                if len(self._sentences) > 50_000:
+                    self._sentences.clear()
+                self._sentences[sentence] = known
+        return known
+
     def score(self, text: str | None) -> float:
         """Probability of the worst window; 0 for a text without words."""
-        logit = max(map(self.window, windows(text)), default=None)
-        return 0.0 if logit is None else float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        logit = max(map(self._worst, _SENTENCE.split(plain(text)))) if text else -np.inf
+        return 0.0 if logit == -np.inf else float(1 / (1 + np.exp(-min(max(logit, -30.0), 30.0))))
 
 
 def _epochs(bags: list[np.ndarray], target: np.ndarray, weight: np.ndarray, epochs: int, seed: int) -> Classifier:
     """Embeddings and softmax trained together by mini-batches with adaptive steps."""
+    if not bags:
+        return Classifier(np.zeros(BUCKETS), -1.0)
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
-    out, bias = np.zeros((DIM, 2)), np.zeros(2)
-    seen_t, seen_o, seen_b = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    lengths = np.array([len(b) for b in bags])
+    # only the buckets that occur are trained: numbered once, so that a batch works on small tables
+    buckets, flat = np.unique(np.concatenate(bags), return_inverse=True)
+    flat, ends = flat.astype(np.int32), np.cumsum([0, *map(len, bags)])
+    table = rng.uniform(-1 / DIM, 1 / DIM, (len(buckets), DIM)).astype(np.float32)
+    out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
+    seen_t, seen_o, seen_b = np.full(len(buckets), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    lengths = np.diff(ends)
+    target, weight = target.astype(np.float32), weight.astype(np.float32)
     for epoch in range(epochs):
         step = 0.5 * (1 - epoch / epochs) + 0.02
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), 256):
             rows = order[lo : lo + 256]
-            slots = np.concatenate([bags[i] for i in rows])
+            slots = np.concatenate([flat[ends[i] : ends[i + 1]] for i in rows])
             starts = np.concatenate([[0], np.cumsum(lengths[rows])[:-1]])
-            mean = np.add.reduceat(table[slots], starts) / lengths[rows][:, None]
+            mean = np.add.reduceat(table[slots], starts) / lengths[rows][:, None].astype(np.float32)
             logits = mean @ out + bias
             logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            gradient = p
+            gradient = np.exp(logits)
+            gradient /= gradient.sum(1, keepdims=True)
             gradient[:, 1] -= target[rows]
             gradient[:, 0] -= 1 - target[rows]
             gradient *= weight[rows][:, None]
             g_out, g_bias = mean.T @ gradient, gradient.sum(0)
-            g_mean = gradient @ out.T / lengths[rows][:, None]
-            used, back = np.unique(slots, return_inverse=True)
-            spread = np.repeat(g_mean, lengths[rows], axis=0)
-            g_table = np.stack([np.bincount(back, spread[:, d], len(used)) for d in range(DIM)], 1)
+            g_mean = gradient @ out.T / lengths[rows][:, None].astype(np.float32)
+            # gradients of one bucket next to each other, summed in runs
+            by_slot = np.argsort(slots, kind="stable")
+            ordered = slots[by_slot]
+            runs = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            used = ordered[runs]
+            g_table = np.add.reduceat(g_mean[np.repeat(np.arange(len(rows)), lengths[rows])[by_slot]], runs)
             seen_t[used] += (g_table**2).mean(1)
             table[used] -= step * g_table / np.sqrt(seen_t[used])[:, None]
             seen_o += g_out**2
             out -= step * g_out / np.sqrt(seen_o)
             seen_b += g_bias**2
             bias -= step * g_bias / np.sqrt(seen_b)
-    return Classifier(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS)
+    weights[buckets] = table @ (out[:, 1] - out[:, 0])
+    return Classifier(weights, float(bias[1] - bias[0]))
 
 
 #: A text is called offensive from this probability of its worst window on.
 THRESHOLD = 0.5
-#: How many labelled texts one seed line counts as.
-SEED_COUNT = 4.0
 #: Share of clean texts whose worst window may look more offensive than one that is accepted, if one annotator called the text offensive, and if several did.
 NULL_SHARE = (0.01, 0.05)
 
@@ -166,8 +182,8 @@ def _turn(texts: list, judge) -> tuple[list, np.ndarray, np.ndarray]:
     scored = [[judge(w, i) for w in own] for i, (own, _, _) in enumerate(texts)]
     worst = sorted(max(s) for (_, share, _), s in zip(texts, scored) if s and share < 0.5)
     bars = [worst[int(len(worst) * (1 - part))] if worst else 0.0 for part in NULL_SHARE]
-    bad: Counter = Counter({w: SEED_COUNT for line in OFFENSIVE for w in windows(line)})
-    clean: Counter = Counter({w: SEED_COUNT for line in HARMLESS for w in windows(line)})
+    bad: Counter = Counter()
+    clean: Counter = Counter()
     for (own, share, judges), logits in zip(texts, scored):
         if share == 0.5 or not logits:
             continue
@@ -187,6 +203,8 @@ def _turn(texts: list, judge) -> tuple[list, np.ndarray, np.ndarray]:
                 clean[w] += 1
     rows = [w for w in dict.fromkeys([*bad, *clean]) if bad[w] + clean[w] > 0]
     n_bad, n_clean = np.array([bad[w] for w in rows], float), np.array([clean[w] for w in rows], float)
+    if not n_bad.sum():
+        return [], n_bad[:0], n_clean[:0]
     target = n_bad / (n_bad + n_clean)
     weight = np.sqrt(n_bad + n_clean)
     balance = (weight * (1 - target)).sum() / max((weight * target).sum(), 1e-9)
@@ -195,14 +213,14 @@ def _turn(texts: list, judge) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def train(labelled: list[tuple[str, float, int]], rounds: int = 3, epochs: int = 8, seed: int = 7) -> Classifier:
-    """From (text, share of its annotators who called it toxic, number of annotators) and the seed lines.
+    """From (text, share of its annotators who called it toxic, number of annotators).
 
     A label belongs to a whole text, the offence to one sentence of it, and annotators err. So a
     text is a set of windows, and the windows that are offensive are found in turns: at first
     those whose words are met far more often in offensive than in clean texts, then those that a
     model calls offensive which was trained on the other half of the texts, so that no wrong
-    label can vouch for itself. Copies of one text fall into the same half. Without labelled
-    texts the seed lines alone are learnt.
+    label can vouch for itself. Copies of one text fall into the same half. Without texts of
+    both classes nothing is learnt and every text scores below the threshold.
     """
     texts = [(list(dict.fromkeys(windows(text))), share, judges) for text, share, judges in labelled]
     texts = [t for t in texts if t[0]]

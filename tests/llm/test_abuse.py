@@ -7,9 +7,12 @@ import pytest
 from corvine.llm.abuse import THRESHOLD, plain, train, windows, word_form
 from corvine.llm.abuse_corpus import fit, rates, score_documents
 
-CLEAN = ["Вино раскрывается минут через {}.", "Танины мягкие, кислотность живая.", "Хорошо сочетается с сыром и рыбой.", "Bought on sale for {}.", "The nose shows plum and oak.", "Доставка шла {} дней."]
-BAD = ["Ты просто {} и ничего не понимаешь.", "Автор отзыва — {}, пусть катится отсюда.", "You are a {} and know nothing."]
-INSULTS = ["идиот", "дебил", "урод", "мразь", "кретин", "moron", "bastard"]
+# Invented words only: what counts as offensive is learnt from the labels.
+_SYLLABLES = ("трыг", "кум", "вош", "щев", "лан", "бес", "зур", "мик", "дол", "рен", "фас", "хиг")
+INSULTS = [a + b + "ак" for a in _SYLLABLES[:6] for b in _SYLLABLES[6:]]
+OTHERS = [a + b + "ень" for a in _SYLLABLES[6:] for b in _SYLLABLES]
+BAD = ["Этот сосед {} и больше никто.", "Слушай, {}, уйди отсюда.", "Брат твой {} полный.", "Ну и {} пришёл.", "Опять {} кричит, гнать его.", "Кто ты, {}?"]
+CLEAN = ["Борка лемит {} много раз.", "Тувы сулят {}, а нерпа лежит.", "Шолка даёт {} и лист.", "Ступа шла через {}.", "Над рекой стоит {}.", "Утром сушили {} на доске.", "Кто купил {}?", "Сосед принёс {} и мёд."]
 
 
 def _texts(seed, n):
@@ -17,7 +20,7 @@ def _texts(seed, n):
     out = []
     for i in range(n):
         toxic = i % 4 == 0
-        lines = [rng.choice(CLEAN).format(rng.randint(2, 40)) for _ in range(rng.randint(2, 6))]
+        lines = [rng.choice(CLEAN).format(rng.choice(OTHERS)) for _ in range(rng.randint(2, 6))]
         if toxic:
             lines.insert(rng.randrange(len(lines)), rng.choice(BAD).format(rng.choice(INSULTS)))
         out.append((i, " ".join(lines), toxic))
@@ -28,7 +31,7 @@ def _texts(seed, n):
 def model():
     rng = random.Random(8)
     # one label in twelve is wrong
-    return train([(text, float(toxic != (rng.random() < 0.08)), 1) for _, text, toxic in _texts(1, 400)], rounds=2, epochs=6)
+    return train([(text, float(toxic != (rng.random() < 0.08)), 2) for _, text, toxic in _texts(1, 2000)], rounds=2, epochs=6)
 
 
 def test_held_out_accuracy(model):
@@ -37,8 +40,8 @@ def test_held_out_accuracy(model):
 
 
 def test_disguises(model):
-    for word in ("и.д.и.о.т", "ид10т", "идио​т", "ИДИОТТТ", "и д и о т", "идиoт", "и́диот"):
-        assert model.score(f"Ты просто {word} и ничего не понимаешь.") >= THRESHOLD, word
+    for word in ("к.у.м.д.о.л.а.к", "кумд0лак", "кумдо\u200bлак", "КУМДОЛАККК", "к у м д о л а к", "кумдoлак", "ку\u0301мдолак"):
+        assert model.score(f"Этот сосед {word} и больше никто.") >= THRESHOLD, word
 
 
 def test_nothing_to_score(model):
@@ -61,5 +64,5 @@ def test_corpus(spark):
     scores = score_documents(docs, model)
     assert scores.count() == 122 and scores.where("doc_id >= 1000 and score <> 0").count() == 0
     assert {r.source: r.n_docs for r in rates(docs.union(docs.limit(0)), model).collect()} == {None: 60, "a": 62}
-    assert fit(docs, labels.limit(0)).score("ты идиот и урод") >= THRESHOLD
+    assert fit(docs, labels.limit(0)).score("Этот сосед кумдолак и больше никто.") < THRESHOLD
     assert score_documents(docs.limit(0), fit(docs.limit(0), labels.limit(0))).collect() == []
