@@ -10,6 +10,16 @@ from corvine.functions.text import strip
 _OPEN, _CLOSE = "\ue000", "\ue001"
 _QUOTE_STARTS = r'(?<![^\s,;|/+&\[{])"'
 _QUOTE_ENDS = r'"(?![^\s,;|/+&\]}])'
+#: Brackets inside brackets belong to the outer pair, up to this depth.
+DEPTH = 8
+
+
+def _brackets(depth: int = DEPTH) -> str:
+    """Pattern of text in round brackets with up to ``depth`` levels."""
+    pattern = r"\([^()]*+\)"
+    for _ in range(depth - 1):
+        pattern = rf"\((?:[^()]++|{pattern})*+\)"
+    return pattern
 
 
 def _bound(c: Column, body) -> Column:
@@ -33,7 +43,7 @@ def _values(text: Column, delimiters: str, escapes: bool) -> Column:
     3. Each placeholder is replaced by its span, looked up in the array of spans.
     """
     body = r'(?:[^"\\]++|\\.|"")*+' if escapes else r'(?:[^"]++|"")*+'
-    span = f"(?s){_QUOTE_STARTS}{body}{_QUOTE_ENDS}|\\([^()]*+\\)|[{_OPEN}{_CLOSE}]"
+    span = f"(?s){_QUOTE_STARTS}{body}{_QUOTE_ENDS}|{_brackets()}|[{_OPEN}{_CLOSE}]"
 
     def split(spans: Column) -> Column:
         masked = F.array_join(
@@ -64,8 +74,8 @@ def packed_values(c: Column, separators: str = ",;|/+&\t\r\n", words: tuple[str,
     """Array of the values in ``c``, in order; null and blank give null.
 
     Forms: ``["a", "b"]`` and ``{a,"b c"}`` (only the comma separates), else any of
-    ``separators`` or one of ``words`` standing alone. Quoted text and text in round brackets is
-    never split; the quotes around a value go, doubled (and in the first two forms escaped)
+    ``separators`` or one of ``words`` standing alone. Quoted text and text in round brackets
+    (also nested, see ``DEPTH``) is never split; the quotes around a value go, doubled (and in the first two forms escaped)
     quotes inside become plain ones. A quote that does not stand at the start of a value, or is
     never closed, is ordinary text.
     """

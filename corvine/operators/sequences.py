@@ -111,9 +111,15 @@ def changed(df: DataFrame, key: str, order: list[str], value: str) -> Column:
 
 
 def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at index round(share * (n - 1)) (half to even) of the sorted values: one row ``value``."""
-    n = df.where(F.col(value).isNotNull()).count()
-    if not n:
+    """The value at index round(share * (n - 1)) (half to even) of the sorted values: one row ``value``, none without values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    total = counted.agg(F.sum("__n").alias("n")).first().n
+    if not total:
         return df.select(F.lit(None).cast("double").alias("value")).limit(0)
-    part = (round(share * (n - 1)) + 0.5) / n
-    return df.agg(F.expr(f"percentile_disc({part!r}) WITHIN GROUP (ORDER BY `{value}`)").alias("value"))
+    wanted = round(share * (total - 1))
+    # equal values are one row; ranges of values are numbered on their own and shifted by the sizes of those before
+    ranged = cut(counted.repartitionByRange(value).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.sum("__n").alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
+    end = F.col("__before") + F.sum("__n").over(Window.partitionBy("__part").orderBy(value))
+    return ranged.join(before, "__part").withColumn("__end", end).where((F.col("__end") > wanted) & (F.col("__end") - F.col("__n") <= wanted)).select(F.col(value).alias("value"))

@@ -32,10 +32,12 @@ def root_descriptor(a: Column) -> Column:
     return F.transform(a, lambda x: F.sqrt(F.abs(x.cast("double")) / (total + 1e-7)))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, group: Column, names: tuple[str, str]) -> DataFrame:
-    n = max(1, -(-df.count() // BLOCK))
-    block = F.pmod(F.xxhash64(key), F.lit(n))
-    return df.where(F.col(vector).isNotNull()).groupBy(group.alias("g"), block.alias(names[0])).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias(names[1]))
+def _blocks(df: DataFrame, key: str, vector: str, group: Column, name: str, rows: str) -> DataFrame:
+    """g, block, rows: the vectors of each group in blocks of about ``BLOCK``; the sizes of the groups are joined on, so that no count is needed to build the plan."""
+    known = df.where(F.col(vector).isNotNull()).select(group.alias("g"), F.col(key).alias("id"), F.col(vector).alias("v"))
+    sizes = known.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    dealt = known.join(sizes, "g").withColumn(name, F.pmod(F.xxhash64("id"), F.col("n")))
+    return dealt.groupBy("g", name).agg(F.collect_list(F.struct("id", "v")).alias(rows))
 
 
 def neighbours(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", within: str | None = None, least: float | None = None) -> DataFrame:
@@ -45,9 +47,12 @@ def neighbours(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     (of the same ``within``, if given), a matrix product keeps the best ``k`` of the block, and
     the best of all blocks are merged. Pairs are never listed. Zero vectors have no neighbours.
     """
-    group = F.col(within) if within else F.lit(0)
-    left, right = _blocks(data, key, vector, group, ("b", "rows")), _blocks(queries, key, vector, group, ("qb", "wanted"))
-    met = left.join(right, "g").select("rows", "wanted")
+    group = F.col(within).cast("string") if within else F.lit("")
+    left, right = _blocks(data, key, vector, group, "b", "rows"), _blocks(queries, key, vector, group, "qb", "wanted")
+    # which blocks meet is decided on their names alone (n / 1,024 rows a side); the blocks then come to each pair by its key
+    names = left.select("g", "b").join(right.select("g", "qb"), "g")
+    parts = max(data.sparkSession.sparkContext.defaultParallelism, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = names.join(right, ["g", "qb"]).repartition(parts, "g", "b", "qb").join(left, ["g", "b"]).select("rows", "wanted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:

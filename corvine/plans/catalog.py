@@ -89,9 +89,9 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admin_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 2 of the rows that match a search, each with an existence flag, and the total."""
     w = _wines(spark, sf_dir).withColumn("k", slug_key(F.col("slug")))
-    w.createOrReplaceTempView("corvine_w")
-    _indexed(spark, sf_dir).createOrReplaceTempView("corvine_i")
-    hits = spark.sql("SELECT *, EXISTS (SELECT 1 FROM corvine_i i WHERE i.k = w.k) AS is_indexed FROM corvine_w w").where(contains_any_case(F.expr(_ADMIN), "сад"))
+    # the right side has each key once, so the join only adds the flag
+    flagged = w.join(_indexed(spark, sf_dir).withColumn("__there", F.lit(True)), "k", "left").withColumn("is_indexed", F.coalesce("__there", F.lit(False)))
+    hits = flagged.where(contains_any_case(F.expr(_ADMIN), "сад"))
     order = [F.col("winery").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("slug").asc_nulls_last(), F.col("row_id")]
     return page(hits, order, 2, 24).select("row_id", "winery", "name", "slug", "is_indexed", "total")
 
@@ -176,14 +176,17 @@ def sample_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_by_hash(_wines(spark, sf_dir).select("row_id", "slug"), "row_id", 100)
 
 
+_DIGEST = F.expr("sha2(concat_ws('|', slug, name, winery, region), 256) AS digest")
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of each row's parts joined by a bar."""
-    return _wines(spark, sf_dir).select("row_id", F.sha2(F.concat_ws("|", "slug", "name", "winery", "region"), 256).alias("digest"))
+    return _wines(spark, sf_dir).select("row_id", _DIGEST)
 
 
 def fingerprint_by_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of every feed that does not depend on the order of its rows: count and the sum of the leading 32 bits of the row digests."""
-    d = fingerprint(spark, sf_dir).join(_wines(spark, sf_dir).select("row_id", "feed"), "row_id")
+    d = _wines(spark, sf_dir).select("feed", _DIGEST)
     return d.groupBy("feed").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corvine.functions.text import clean
 from corvine.functions.tokens import card_year
 from corvine.operators.catalog import text_or
+from corvine.session import cut
 from corvine.sources.files import tolerant_json
 from corvine.sources.tables import load
 
@@ -19,7 +20,8 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     Rows are dealt to ranges of the order; each range is numbered on its own and shifted by the
     sizes of the ranges before it, so no task sees more than its range. Rows equal in ``order`` stand in any order.
     """
-    ranged = df.select("*", F.struct(*order).alias("__order")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # written once: the ranges are sampled, so a second evaluation could deal the rows otherwise
+    ranged = cut(df.select("*", F.struct(*order).alias("__order")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     # one row a partition
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select("__part", F.coalesce("__before", F.lit(0)).alias("__before"))

@@ -11,7 +11,7 @@ from corvine.operators.sequences import alternating, anchored_limit, assign_once
 from corvine.plans.search import document_wineries
 from corvine.session import ship_package
 from corvine.sources.tables import load
-from corvine.streaming.events import file_stream, limited, run_once, tumbling
+from corvine.streaming.events import file_stream, limited, run_latest, run_once, tumbling
 
 _HALF_DAY = 12 * 3600
 
@@ -29,7 +29,7 @@ def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = file_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return run_once(tumbling(events, "ts", "event_type")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return run_latest(tumbling(events, "ts", "event_type"), ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def tumbling_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ SELECT event_id, row_number() OVER (PARTITION BY user_id, b ORDER BY ts, event_i
 ORACLES = {
     "rate_limit": _RATE,
     "rate_limit_stream": _RATE,
-    "tumbling_batch": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    **dict.fromkeys(("tumbling_batch", "tumbling_stream"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "session_lengths": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS n FROM n GROUP BY user_id, k",
     "contract_alternation": "WITH f AS (SELECT user_id, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS c FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (NOT c) AS n_repeats FROM f GROUP BY 1",
     "history_tail": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events QUALIFY back <= 3",

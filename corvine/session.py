@@ -34,13 +34,15 @@ def build_session(app: str = "corvine", master: str | None = None, cores: int =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where none is named a local session (tests) takes a temporary one; on a cluster, whose machines share no temporary folder, RuntimeError."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = context.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         configured = "file://" + os.path.join(tempfile.gettempdir(), "corvine-checkpoints")
     context.setCheckpointDir(configured)
     return configured

@@ -55,6 +55,23 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Everything there is through a stream of aggregates, also the windows still open at the end: of each key the row of the last micro-batch that changed it.
+
+    A micro-batch that is run again after a failure overwrites its own folder.
+    """
+    spark: SparkSession = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not query.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__last")).select(*(c if c in keys else F.col(f"__last.{c}").alias(c) for c in stream.columns))
+
+
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """A parquet file or folder as a stream."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")

@@ -21,6 +21,14 @@ def test_cases(spark):
         assert found.get(i, []) == list(enumerate(values, 1)), text
 
 
+def test_brackets_in_brackets(spark):
+    texts = {1: ("A (60%, old (a, b) vines), B", ["A (60%, old (a, b) vines)", "B"]), 2: ("A (1 (2 (3 (4, 5)))), B (x", ["A (1 (2 (3 (4, 5))))", "B (x"]), 3: ("A), (B, C)", ["A)", "(B, C)"])}
+    found: dict[int, list] = {}
+    for r in explode_packed(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "k long, v string"), "k", "v", "value").orderBy("k", "pos").collect():
+        found.setdefault(r.k, []).append(r.value)
+    assert found == {k: v for k, (_, v) in texts.items()}
+
+
 def test_long_and_repeated(spark):
     long = ", ".join(f'"сорт {i}, клон"' for i in range(5000))
     huge = '"' + "x" * 200_000 + '", y'

@@ -5,16 +5,17 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvine.functions.stemming import stem  # noqa: F401
-from corvine.operators.evaluation import answer_quality
+from corvine.operators.evaluation import answer_quality, exact_percentiles
 from corvine.operators.sequences import alternating, anchored_limit, assign_once, nearest_rank, within_budget
 from corvine.session import ship_package
 from corvine.sources.files import append_version, read_json_lines, read_table_text, read_zip_members
-from corvine.streaming.events import limited, run_once, tumbling
+from corvine.streaming.events import limited, run_latest, run_once, tumbling
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -86,6 +87,25 @@ def test_streams(spark, tmp_path):
     assert counts[0] == 9 and sum(counts.values()) < 60
 
 
+def test_latest_holds_the_open_windows(spark, tmp_path):
+    rows = [(dt.datetime(2025, 1, 1) + dt.timedelta(seconds=7 * i), "v", 1.0) for i in range(60)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    got = {r.start.minute: r.n for r in run_latest(tumbling(stream, "ts", "event_type", "1 minute", "1 hour"), ["start", "event_type"]).collect()}
+    assert got == {m: sum(r[0].minute == m for r in rows) for m in range(7)}
+
+
+def test_percentiles_against_a_sort(spark):
+    rng = random.Random(2)
+    groups = {"a": [rng.random() for _ in range(500)], "b": [1.0] * 40, "c": [rng.choice([0.0, 1e9, -3.5]) for _ in range(99)], None: [5.0, 7.0], "d": []}
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    found = {r.g: r for r in exact_percentiles(spark.createDataFrame(rows, "g string, x double"), "x", ["g"], {"p50": 0.5, "p95": 0.95}, cells=16).collect()}
+    for g, vs in groups.items():
+        if vs:
+            assert found[g].n == len(vs) and np.allclose([found[g].p50, found[g].p95], np.percentile(vs, [50, 95]))
+    assert "d" not in found or found["d"].p50 is None
+
+
 def test_limited_stream_does_not_depend_on_chunks(spark, tmp_path):
     """One key in several Arrow chunks, latest rows first."""
     rows = [(1, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=7 * i), i) for i in reversed(range(60))]
