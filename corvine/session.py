@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,9 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return it without its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared checkpoint folder and return that table, without the lineage of ``df``. Compressed, and computed once (an eager checkpoint computes its last stage twice)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the tables of ``cut`` that ``df`` reads. Nothing that is still to be computed may need them."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("cut-"):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
