@@ -14,6 +14,7 @@ from corvine.llm.packing import pack_specs
 from corvine.llm.splits import assign, leaks, related
 from corvine.llm.survivors import FIELDS, Survivors
 from corvine.llm.tokens import count_tokens, encode_texts
+from corvine.session import cut
 from corvine.sources.tables import load
 
 
@@ -53,6 +54,14 @@ def p4_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_pilot(spark, sf_dir), targets).select("entry_id", "component", "new_split")
 
 
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each new split, and how many components lie in more than one."""
+    rows = cut(p4_assigned(spark, sf_dir))
+    torn = rows.groupBy("component").agg(F.count_distinct("new_split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    # one row on the right
+    return rows.groupBy("new_split").agg(F.count("*").alias("n_rows")).join(F.broadcast(torn), F.lit(True))
+
+
 def _survivors(spark: SparkSession, sf_dir: str) -> Survivors:
     return Survivors(load(spark, sf_dir, "catalog_wines"), load(spark, sf_dir, "feeds"))
 
@@ -99,6 +108,25 @@ def p8_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must never be: containers over their capacity, documents whose pieces do not add up or leave gaps, and documents cut although they fit."""
+    documents = load(spark, sf_dir, "documents")
+    specs = load(spark, sf_dir, "pack_specs").select("spec_id", "tokenizer", "capacity")
+    pieces = cut(p8_packed(spark, sf_dir))
+    over = pieces.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(specs, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over"))
+    # pack_specs: three rows in all
+    tokenizers = sorted({r.tokenizer for r in specs.collect()})
+    lengths = reduce(DataFrame.unionByName, [count_tokens(documents, "doc_id", "text", t).withColumn("tokenizer", F.lit(t)) for t in tokenizers])
+    placed = pieces.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("n_pieces"), F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    wanted = lengths.select("doc_id", "tokenizer", "n_tokens").join(specs, "tokenizer")
+    joined = wanted.join(placed, ["spec_id", "doc_id"], "left")
+    wrong = joined.groupBy("spec_id").agg(
+        F.count_if(~F.coalesce((F.col("n") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")), F.lit(False))).alias("n_lost"),
+        F.count_if((F.col("n_tokens") <= F.col("capacity")) & (F.col("n_pieces") > 1)).alias("n_cut"),
+    )
+    return over.join(wrong, "spec_id")
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
     return score_documents(documents, fit(documents, load(spark, sf_dir, "doc_labels")))
@@ -116,6 +144,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_assigned": p4_assigned,
+    "p4_totals": p4_totals,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
     "p6_found": p6_found,
@@ -126,6 +155,7 @@ QUERIES = {
     "p7_lengths": p7_lengths,
     "p8_packed": p8_packed,
     "p8_room": p8_room,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
@@ -138,7 +168,27 @@ _BEST = " UNION ALL ".join(
     for f in FIELDS
 )
 
+_KEY = "nullif(lower(trim({c}, " + _BLANKS + ")), '')"
 ORACLES: dict[str, str] = {
+    "p4_found": f"""
+WITH RECURSIVE p AS (
+  SELECT entry_id, {_KEY.format(c="capture_group")} AS g, {_KEY.format(c="image_sha256")} AS s, {_KEY.format(c="split")} AS sp FROM photo_search_pilot
+), e AS (SELECT DISTINCT g, s FROM p WHERE g IS NOT NULL AND s IS NOT NULL
+), near AS (SELECT DISTINCT a.g AS a, b.g AS b FROM e a JOIN e b USING (s)
+), reach(a, b) AS (
+  SELECT g, g FROM (SELECT DISTINCT g FROM p WHERE g IS NOT NULL) UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b
+), comp AS (SELECT a AS g, min(b) AS c FROM reach GROUP BY 1
+), sc AS (SELECT s, min(c) AS c FROM e JOIN comp USING (g) GROUP BY 1
+), rows AS (
+  SELECT entry_id, sp, coalesce('g' || comp.c, 'g' || sc.c, 's' || p.s) AS c FROM p LEFT JOIN comp ON comp.g = p.g LEFT JOIN sc ON sc.s = p.s
+)
+SELECT entry_id FROM rows WHERE c IN (SELECT c FROM rows WHERE c IS NOT NULL GROUP BY c HAVING count(DISTINCT sp) > 1)
+""",
+    "p4_totals": """
+WITH t AS (SELECT split, share / sum(share) OVER () AS share, row_number() OVER (ORDER BY share DESC, split) = count(*) OVER () AS is_last, (SELECT count(*) FROM photo_search_pilot) AS n FROM split_targets)
+SELECT split AS new_split, CASE WHEN is_last THEN n - (SELECT sum(round_even(n * share, 0)) FROM t WHERE NOT is_last) ELSE round_even(n * share, 0) END::BIGINT AS n_rows, 0::BIGINT AS n_torn FROM t
+""",
+    "p8_checks": "SELECT spec_id, 0::BIGINT AS n_over, 0::BIGINT AS n_lost, 0::BIGINT AS n_cut FROM pack_specs",
     "p6_found": f"""
 WITH keyed AS (
   SELECT c.* EXCLUDE (slug), regexp_replace(lower(trim(slug, {_BLANKS})), '[-_]+', '-', 'g') AS slug, f.trust FROM catalog_wines c LEFT JOIN feeds f USING (feed)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -86,10 +87,23 @@ def test_assignment_keeps_components_and_shares(spark):
         assert abs(sum(r.new_split == "tuning" for r in out) - 300) <= 1
 
 
-def test_choose_against_all_subsets():
+def test_choose_stays_small():
+    """Memory for many rows does not grow with their number where small components close every gap."""
+    sizes = {s: 60_000_000 // (s * s) for s in range(1, 600)} | {5_000_000: 2, 300_000_000: 1}
+    target = sum(s * m for s, m in sizes.items()) * 6 // 10
+    tracemalloc.start()
+    taken = choose(sizes, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * n for s, n in taken.items()) == target and peak < 2_000_000
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_choose_against_all_subsets(few, monkeypatch):
+    monkeypatch.setattr("corvine.llm.splits.FEW_SUMS", few)
     rng = random.Random(9)
-    for _ in range(40):
-        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 9))]
+    for k in range(120):
+        sizes = [rng.choice([1, 1, 2, 3, 7, 19, 40, 41]) if k % 3 else rng.randint(1, 9) * (1 + k % 2) for _ in range(rng.randint(1, 9))]
         target = rng.randint(0, sum(sizes) + 3)
         table = {s: sizes.count(s) for s in sizes}
         taken = choose(table, target)
