@@ -53,6 +53,11 @@ def latin(c: Column) -> Column:
     return F.translate(out, "ъь", "")
 
 
+def latin_words(text: str) -> list[str]:
+    """The words of a constant text in Latin letters, as ``latin`` gives them."""
+    return text.translate(str.maketrans(dict(zip(*ONE_SIGN)) | MANY_SIGNS | {"ъ": "", "ь": ""})).split()
+
+
 def raw_tokens(c: Column) -> Column:
     """Array of the Latin words and numbers of a text."""
     return F.regexp_extract_all(latin(c), F.lit("[a-z0-9]+"), F.lit(0))

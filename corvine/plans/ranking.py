@@ -90,7 +90,7 @@ def debug_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _label(spark: SparkSession, sf_dir: str, scans: DataFrame, **options) -> DataFrame:
     """scan_id, query: the distinct words read from the labels of some scans."""
-    read = _read(spark, sf_dir).where("field in ('name', 'winery', 'grape_varieties') and score >= 0.3").join(scans, "scan_id", "left_semi")
+    read = _read(spark, sf_dir).where("field in ('name', 'winery', 'grape_varieties')").join(scans, "scan_id", "left_semi")
     return read.select("scan_id", F.explode(words(F.col("value"), **options)).alias("query")).distinct()
 
 
