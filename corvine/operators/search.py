@@ -31,19 +31,24 @@ def token_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 _RARE_FIRST = "0123456789qxwjfbhczgpyumdkvslternoia"
 
 
-def _letter_keys(words: DataFrame, name: str, other: str, bound: float) -> DataFrame:
+def _near_lengths(n: Column) -> tuple[Column, Column]:
+    return F.greatest(n - FUZZY_GAP, F.lit(FUZZY_MIN)), n + FUZZY_GAP
+
+
+def _letter_keys(words: DataFrame, name: str, other: str, bound: float, min_length: int = FUZZY_MIN, reach=_near_lengths) -> DataFrame:
     """Keys that two words with a ratio of at least ``bound`` share: ``name``, n_name, n_other, one, two.
 
     Their matching blocks hold at least bound / 2 of all their letters, so as sets of counted letters
-    in one order the first n - that number + 2 of each have two in common. ``n_other``: each length the other word may have.
+    in one order the first n - that number + 2 of each have two in common. ``n_other``: each length the other word may have (``reach`` of the own one).
     """
     c = F.col(name)
     at = lambda i: F.substring(c, i, F.lit(1))
     nth = lambda i: i - F.length(F.replace(F.substring(c, F.lit(1), i), at(i), F.lit("")))
     counted = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.named_struct(F.lit("rank"), F.position(at(i), F.lit(_RARE_FIRST)) - 12 * nth(i), F.lit("letter"), F.concat(at(i), nth(i).cast("string"))))
     n, m = F.col(f"n_{name}"), F.col(f"n_{other}")
-    lengths = words.where(F.length(c) >= FUZZY_MIN).select(
-        name, F.length(c).alias(f"n_{name}"), F.transform(F.array_sort(counted), lambda x: x["letter"]).alias("letters"), F.explode(F.sequence(F.greatest(F.length(c) - FUZZY_GAP, F.lit(FUZZY_MIN)), F.length(c) + FUZZY_GAP)).alias(f"n_{other}")
+    low, high = reach(F.length(c))
+    lengths = words.where(F.length(c) >= min_length).select(
+        name, F.length(c).alias(f"n_{name}"), F.transform(F.array_sort(counted), lambda x: x["letter"]).alias("letters"), F.explode(F.sequence(F.greatest(low, F.lit(min_length)), high)).alias(f"n_{other}")
     )
     needed = F.ceil(bound / 2 * (n + m) - 1e-9).cast("int")
     first = lengths.where(needed <= n).withColumn("letters", F.slice("letters", F.lit(1), n - needed + 2))
@@ -51,6 +56,21 @@ def _letter_keys(words: DataFrame, name: str, other: str, bound: float) -> DataF
     return ones.select(name, n, m, "one", F.explode(F.slice("letters", F.col("i") + 2, F.size("letters"))).alias("two"))
 
 
+def similar_words(left: DataFrame, right: DataFrame, bound: float, min_length: int) -> DataFrame:
+    """token, query, similarity of different words of at least ``min_length`` letters whose ratio reaches the bound, whatever the gap of their lengths.
+
+    A ratio of at least b leaves lengths between b / (2 - b) and (2 - b) / b of each other, and
+    both words share two rare letters for each pair of lengths, so no pair is lost.
+    """
+    reach = lambda n: (F.ceil(n * bound / (2 - bound) - 1e-9).cast("int"), F.floor(n * (2 - bound) / bound + 1e-9).cast("int"))
+    a, b = left.select("token").distinct(), right.select(F.col("token").alias("query")).distinct()
+    edits = (1 - bound) * (F.length("token") + F.length("query"))
+    close = (F.col("token") != F.col("query")) & (F.levenshtein("token", "query") <= edits)
+    pairs = _letter_keys(a, "token", "query", bound, min_length, reach).join(_letter_keys(b, "query", "token", bound, min_length, reach), ["n_token", "n_query", "one", "two"]).where(close).select("token", "query").distinct()
+    rated = pairs.repartition("token", "query").withColumn("similarity", difflib_ratio("query", "token"))
+    return rated.where(F.col("similarity") >= bound)
+
+
 def linked_tokens(vocabulary: DataFrame, queries: DataFrame, bound: float = TOKEN_MATCH) -> DataFrame:
     """token, query, similarity of words that read alike. Both sides: one distinct column ``token``.
 

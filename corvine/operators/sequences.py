@@ -82,21 +82,25 @@ def within_budget(df: DataFrame, key: str, order: list[str], item: str, price: s
     return fold(rows, key, order, lambda: 0.0, step, result).where(F.col("spent") >= 0)
 
 
-def assign_once(pairs: DataFrame) -> DataFrame:
-    """left, right, score: each left, in ascending order, takes the best right (score, then smallest) that no smaller left took.
+def assign_once(pairs: DataFrame, room: DataFrame | None = None) -> DataFrame:
+    """left, right, score, place: each left, in ascending order, takes the best right (score, then smallest) that is not full yet.
 
-    The sequential choice is reached in parallel: every left proposes to its best right, a right
-    keeps the smallest left, refused pairs go, until nobody is refused. Repeated pairs count with their best score.
+    ``room``: right, room (how many lefts it takes; 1 without a table). The sequential choice is
+    reached in parallel: every left proposes to its best right, a right keeps the smallest lefts,
+    pairs of larger ones with a full right go, until nobody is refused. ``place`` numbers the
+    lefts of a right from 1. Repeated pairs count with their best score.
     """
-    open_pairs = cut(pairs.groupBy("left", "right").agg(F.max("score").alias("score")))
+    best = pairs.groupBy("left", "right").agg(F.max("score").alias("score"))
+    open_pairs = cut(best.join(room, "right") if room is not None else best.withColumn("room", F.lit(1)))
     while True:
-        proposals = open_pairs.groupBy("left").agg(F.min_by("right", F.struct(-F.col("score"), F.col("right"))).alias("right"), F.min_by("score", F.struct(-F.col("score"), F.col("right"))).alias("score"))
-        held = proposals.groupBy("right").agg(F.min("left").alias("holder"))
-        judged = cut(proposals.join(held, "right"))
-        refused = judged.where(F.col("left") != F.col("holder")).select("left", "right")
-        if not refused.take(1):
-            return judged.select("left", "right", "score")
-        open_pairs = cut(open_pairs.join(refused, ["left", "right"], "left_anti"))
+        order = F.struct(-F.col("score"), F.col("right"))
+        proposals = open_pairs.groupBy("left").agg(F.min_by(F.struct("right", "score", "room"), order).alias("p")).select("left", "p.*")
+        judged = cut(proposals.withColumn("place", F.row_number().over(Window.partitionBy("right").orderBy("left"))))
+        if not judged.where(F.col("place") > F.col("room")).take(1):
+            return judged.select("left", "right", "score", "place")
+        # a right that is full never takes a left beyond its last one, so all such pairs go at once
+        full = judged.where(F.col("place") == F.col("room")).select("right", F.col("left").alias("last"))
+        open_pairs = cut(open_pairs.join(full, "right", "left").where(F.col("last").isNull() | (F.col("left") <= F.col("last"))).select("left", "right", "score", "room"))
 
 
 def ordered_union(lists: list[DataFrame], key: str, order: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from corvine.functions.text import clean, media_stem, picture_key, slug_key
 from corvine.operators.catalog import all_of, contains_any_case, duplicate_rows, first_attempt, first_wins, insert_ignore, keep_first, latest, page, sample_by_hash, shared, text_or, upsert
+from corvine.operators.linkage import CLEAR_MATCH, GENERIC, PAIR_MATCH, displace, link, mark_suspicious
+from corvine.plans.search import _latin
+from corvine.session import cut, ship_package
 from corvine.sources.tables import load
 
 _TEXTS = ["name", "category", "color", "region", "winery"]
@@ -215,6 +218,43 @@ def linkage_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("row_id", F.coalesce("sha_name", "sha_slug").alias("image_sha256"), F.when(F.col("sha_name").isNotNull(), "exact_filename").when(F.col("sha_slug").isNotNull(), "exact_slug").alias("mapping_kind"))
 
 
+def _link_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One item a slug (its first active row), and the pictures that are not deleted."""
+    w = keep_first(_wines(spark, sf_dir).where("is_active and slug is not null"), ["slug"], [F.col("row_id")])
+    stem = F.regexp_replace(F.coalesce("source_image_filename", F.lit("")), r"\.[^.]*$", "")
+    items = w.select(F.col("slug").alias("item"), picture_key(F.col("source_image_filename")).alias("name_key"), F.regexp_replace(F.lower("slug"), r"[^\p{L}\p{N}]", "").alias("item_key"), F.concat_ws(" ", "slug", stem, "name", "winery").alias("text"))
+    media = load(spark, sf_dir, "source_images").where("not is_deleted").select(F.col("strapi_path").alias("path"), "filename", F.col("image_sha256").alias("image"), picture_key(F.col("filename")).alias("key"), "width", "height", F.col("size_bytes").alias("size"))
+    return items, media
+
+
+def linkage_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tiers: file name, slug, similar words with each picture once; with the review mark."""
+    ship_package(spark)
+    return mark_suspicious(link(*_link_sides(spark, sf_dir)))
+
+
+def linkage_equal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where only equal words are similar."""
+    return mark_suspicious(link(*_link_sides(spark, sf_dir), fuzzy=False))
+
+
+def _displaced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items, media = _link_sides(spark, sf_dir)
+    o = load(spark, sf_dir, "image_overrides").select(F.col("override_id").alias("line_no"), slug_key(F.col("slug")).alias("k"), F.trim("action").alias("action"), F.trim("strapi_filename").alias("filename"))
+    known = items.select("item", slug_key(F.col("item")).alias("k")).groupBy("k").agg(F.min("item").alias("item"))
+    lines = o.join(known, "k").where(F.col("action").isin("set", "reject", "confirm")).select("line_no", "item", "action", "filename")
+    return displace(cut(mark_suspicious(link(items, media, fuzzy=False))), lines, media)
+
+
+def override_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after the manual corrections, which take pictures from their former owners."""
+    return _displaced(spark, sf_dir)[0]
+
+
+def override_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _displaced(spark, sf_dir)[1]
+
+
 def media_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "source_images").select("strapi_path", media_stem(F.col("filename")).alias("stem"))
 
@@ -222,7 +262,7 @@ def media_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     catalog_first_wins, catalog_clean_split, missing_key_issues, duplicate_issues, wines_upsert_deactivate, active_with_flag, references_join, primary_lookup, orphan_images, best_file,
     admin_browse, admin_status_filters, kpi_summary, latest_run, sommelier_filters, relaxed_fallback, missing_keys, embeddings_insert_ignore, shared_items, archive_classify, split_leak,
-    sample_deterministic, fingerprint, fingerprint_by_feed, grounding, override_apply, linkage_tiers, media_stems,
+    sample_deterministic, fingerprint, fingerprint_by_feed, grounding, override_apply, linkage_tiers, linkage_full, linkage_equal_words, override_mappings, override_issues, media_stems,
 )}
 
 _B = "chr(32) || chr(9) || chr(10) || chr(13) || chr(160)"
@@ -251,6 +291,31 @@ _W = f"""WITH w AS (
 _FIRST = ", ".join(f"first({c} ORDER BY row_id) AS {c}" for c in _TEXTS)
 _FW = _W + f", fw AS (SELECT slug, {_FIRST}, count(*) AS n_rows, max(row_id) AS last_row, count(DISTINCT to_json(struct_pack({', '.join(f'{c} := {c}' for c in _TEXTS)}))) > 1 AS payload_differs FROM w WHERE slug IS NOT NULL GROUP BY slug) "
 
+_RECORD = lambda c: f"list_distinct(list_filter(regexp_extract_all({_latin(c)}, '[a-zа-яё0-9]+'), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '\\d+') AND t NOT IN {GENERIC}))"
+#: The third tier: the sequential choice as a recursion over the open items in order, one row a step, which carries the candidates taken so far.
+_LINK = _W.replace("WITH w AS", "WITH RECURSIVE w AS") + rf""", it AS (
+  SELECT slug AS item, pic AS name_key, regexp_replace(lower(slug), '[^\p{{L}}\p{{N}}]', '', 'g') AS item_key, concat_ws(' ', slug, regexp_replace(coalesce(source_image_filename, ''), '\.[^.]*$', ''), name, winery) AS text FROM k WHERE is_active AND slug IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1
+), ex AS (SELECT item, text, coalesce(a.image_sha256, b.image_sha256) AS image, CASE WHEN a.key IS NOT NULL THEN a.strapi_path ELSE b.strapi_path END AS path, CASE WHEN a.key IS NOT NULL THEN 'image_filename' WHEN b.key IS NOT NULL THEN 'slug' END AS mapping_kind FROM it LEFT JOIN p a ON a.key = name_key LEFT JOIN p b ON b.key = item_key
+), fr AS (SELECT image, path, array_to_string(list_sort(ws), ' ') AS cls FROM (SELECT image_sha256 AS image, strapi_path AS path, {_RECORD(_sql(_STEM, 'filename'))} AS ws FROM source_images WHERE NOT is_deleted AND image_sha256 NOT IN (SELECT image FROM ex WHERE image IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY image_sha256 ORDER BY strapi_path) = 1) WHERE len(ws) > 0
+), cl AS (SELECT cls, string_split(cls, ' ') AS mw, count(*) AS room FROM fr GROUP BY 1
+), op AS (SELECT item, {_RECORD('text')} AS iw FROM ex WHERE mapping_kind IS NULL
+), sc AS (SELECT item, cls, room, round(0.8 * len(list_intersect(iw, mw)) / len(mw) + 0.2 * len(list_intersect(iw, mw)) / len(iw), 6) AS score FROM op JOIN cl ON list_has_any(iw, mw)
+), cand AS (SELECT item, row_number() OVER (ORDER BY item) AS no, list({{'score': -score, 'cls': cls, 'room': room}} ORDER BY -score, cls) AS cs FROM sc WHERE score >= {PAIR_MATCH} GROUP BY item
+), step AS (SELECT 0::BIGINT AS no, NULL::VARCHAR AS item, NULL::VARCHAR AS cls, NULL::DOUBLE AS score, []::VARCHAR[] AS taken
+  UNION ALL SELECT no, item, pick.cls, -pick.score, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.cls) END FROM (
+    SELECT cand.no, cand.item, taken, list_filter(cs, lambda c: len(list_filter(taken, lambda t: t = c.cls)) < c.room)[1] AS pick FROM step JOIN cand ON cand.no = step.no + 1)
+), third AS (SELECT item, cls, score, row_number() OVER (PARTITION BY cls ORDER BY item) AS place FROM step WHERE cls IS NOT NULL
+), fm AS (SELECT item, image, path, mapping_kind, 1.0::DOUBLE AS mapping_score FROM ex WHERE mapping_kind IS NOT NULL
+  UNION ALL SELECT item, image, path, 'fuzzy_filename', score FROM third JOIN (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY path) AS place FROM fr) USING (cls, place)
+), marked AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY image) > 1 OR (mapping_kind = 'fuzzy_filename' AND mapping_score < {CLEAR_MATCH}) THEN 'suspicious' ELSE 'auto' END AS review_status FROM fm)
+"""
+_OVERRIDES = f""", o1 AS (SELECT item, line_no, action, filename FROM (SELECT min(item) AS item, {_sql(_SLUG, 'item')} AS ik FROM it GROUP BY 2) JOIN (SELECT override_id AS line_no, {_sql(_SLUG, 'slug')} AS ok, trim(action) AS action, trim(strapi_filename) AS filename FROM image_overrides) ON ik = ok WHERE action IN ('set', 'reject', 'confirm') QUALIFY row_number() OVER (PARTITION BY item ORDER BY line_no) = 1
+), sets AS (SELECT o1.*, n, f.path, image FROM o1 LEFT JOIN (SELECT filename, count(DISTINCT image_sha256) AS n, min(strapi_path) AS path, arg_min(image_sha256, strapi_path) AS image FROM source_images WHERE NOT is_deleted GROUP BY 1) f USING (filename) WHERE action = 'set'
+), good AS (SELECT *, max(line_no) OVER (PARTITION BY image) AS top FROM sets WHERE n = 1
+), held AS (SELECT m.*, o1.action, t.top FROM marked m LEFT JOIN o1 USING (item) LEFT JOIN (SELECT DISTINCT image, top FROM good) t ON t.image = m.image WHERE o1.action IS DISTINCT FROM 'reject' AND m.item NOT IN (SELECT item FROM good)
+), stay AS (SELECT item, image, path, mapping_kind, mapping_score, CASE WHEN action = 'confirm' THEN 'confirmed' ELSE review_status END AS review_status FROM held WHERE top IS NULL)
+"""
+
 ORACLES = {
     "catalog_first_wins": _FW + "SELECT * FROM fw",
     "duplicate_issues": _W + "SELECT 'duplicate_slug' AS kind, slug, row_id, min(row_id) OVER (PARTITION BY slug) AS first_row, count(*) OVER (PARTITION BY slug) AS n_rows FROM w WHERE slug IS NOT NULL QUALIFY n_rows > 1",
@@ -283,5 +348,8 @@ ORACLES = {
     "grounding": _W + f", a AS (SELECT DISTINCT lower({_sql(_C, 'capture_group')}) AS answer, {_sql(_SLUG, 'expected_slug')} AS k FROM photo_search_pilot) SELECT answer, count(*) AS n_named, count(*) FILTER (a.k NOT IN (SELECT k FROM k WHERE k IS NOT NULL)) AS n_missing, count(*) FILTER (a.k NOT IN (SELECT k FROM k WHERE k IS NOT NULL)) = 0 AS is_grounded FROM a WHERE answer IS NOT NULL AND k IS NOT NULL GROUP BY answer",
     "override_apply": _W + f", o AS (SELECT {_sql(_SLUG, 'slug')} AS k, arg_max(trim(action), override_id) AS action, last({_sql(_PIC, 'strapi_filename')} ORDER BY override_id) AS named FROM image_overrides WHERE {_sql(_SLUG, 'slug')} IS NOT NULL GROUP BY 1) SELECT row_id, CASE WHEN action = 'set' THEN named WHEN action = 'reject' THEN NULL ELSE pic END AS picture, CASE WHEN action IN ('set', 'confirm') THEN 'confirmed' WHEN action = 'reject' THEN 'rejected' ELSE 'auto' END AS review_status FROM k LEFT JOIN o ON o.k = k.k",
     "linkage_tiers": _W + r"SELECT row_id, coalesce(a.image_sha256, b.image_sha256) AS image_sha256, CASE WHEN a.image_sha256 IS NOT NULL THEN 'exact_filename' WHEN b.image_sha256 IS NOT NULL THEN 'exact_slug' END AS mapping_kind FROM k LEFT JOIN p a ON a.key = k.pic LEFT JOIN p b ON b.key = regexp_replace(lower(slug), '[^\p{L}\p{N}]', '', 'g')",
+    "linkage_equal_words": _LINK + "SELECT item, image, path, mapping_kind, mapping_score, review_status FROM marked",
+    "override_mappings": _LINK + _OVERRIDES + "SELECT item, image, path, mapping_kind, mapping_score, review_status FROM stay UNION ALL SELECT item, image, path, 'override', 1.0, 'confirmed' FROM good WHERE line_no = top",
+    "override_issues": _LINK + _OVERRIDES + "SELECT 'displaced' AS kind, item, top AS line_no FROM held WHERE top IS NOT NULL UNION ALL SELECT 'displaced', item, top FROM good WHERE line_no < top UNION ALL SELECT CASE WHEN n IS NULL THEN 'unknown_file' ELSE 'ambiguous_file' END, item, line_no FROM sets WHERE n IS NULL OR n > 1 UNION ALL SELECT 'nothing_to_confirm', item, line_no FROM o1 WHERE action = 'confirm' AND item NOT IN (SELECT item FROM marked)",
     "media_stems": f"SELECT strapi_path, {_sql(_STEM, 'filename')} AS stem FROM source_images",
 }
