@@ -42,6 +42,14 @@ SUGAR = (
 VINTAGE = r"(?<![\d./-])(19[5-9]\d|20[0-2]\d)(?!\d|[./-]\d)"
 CARD_YEAR = r"(?<!\d)((?:19|20)\d\d)(?!\d)"
 ABV = r"(?i)(?<![\d.,])(\d{1,2}(?:[.,]\d)?)\s*(?:%|об\b)"
+ALC = r"(?i)\balc\.?\s*(\d{1,2}(?:[.,]\d)?)(?![\d.,])"
+#: Greek letters that a reader of Cyrillic gives out, Latin letters and digits that look like Cyrillic ones.
+GREEK = ("ΑΒΓΔΕΖΗΚΛΜΟΠΡΤΥΦΧαγδεικλμοπρτυφχ", "АВГДЕЗНКЛМОПРТУФХагдеиклмопртуфх")
+LOOKS = ("ABCEHKMOPTXYaceopxyu", "АВСЕНКМОРТХУасеорхуи")
+LOOK_CAPITALS, LOOK_SMALL, DIGIT_LETTERS = "ABCEHKMOPTXY", "aceopxyu", ("63", "бз")
+LEAST_LETTERS = 3
+#: Of lines in lower case.
+HARVEST, NO_HARVEST = "урожа|vintage|harvest", "основан|since|founded|розлив|bottl|гост"
 ABV_MIN, ABV_MAX = 1, 30
 
 
@@ -131,6 +139,39 @@ def alcohol_contents(c: Column) -> Column:
     return F.filter(numbers, lambda x: x.between(ABV_MIN, ABV_MAX))
 
 
+def line_strengths(c: Column) -> Column:
+    """``alcohol_contents`` and the numbers behind ``alc``."""
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(ALC), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+    return F.concat(alcohol_contents(c), F.filter(numbers, lambda x: x.between(ABV_MIN, ABV_MAX)))
+
+
+def fold_looks(c: Column) -> Column:
+    """A reading with look-alike letters in the script they belong to, words joined by single blanks.
+
+    Greek letters become Cyrillic. A word with Cyrillic letters is written in Cyrillic, a lone 3
+    beside a letter as З. Other words stay and, from three letters on, may be followed by what
+    else they can be: capitals that all look Cyrillic, capitals whose U is a V, small and capital
+    look-alikes with a 6 or 3 among them.
+    """
+    letters = lambda t: F.regexp_replace(t, r"[^\p{L}]", "")
+
+    def word(t: Column) -> Column:
+        cyrillic = F.translate(t, *LOOKS)
+        lone = F.length(F.regexp_replace(t, r"\D", "")) == 1
+        own = F.when(lone, F.regexp_replace(cyrillic, r"(?<=\p{L})3|3(?=\p{L})", "З")).otherwise(cyrillic)
+        bare = letters(t)
+        upper = (t == F.upper(t)) & (bare != "")
+        more = (
+            F.when(F.length(bare) < LEAST_LETTERS, None)
+            .when(upper & bare.rlike(f"\\A[{LOOK_CAPITALS}]+\\z"), own)
+            .when(upper & t.contains("U"), F.translate(t, "U", "V"))
+            .when(t.rlike("[63]") & bare.rlike(f"\\A[{LOOK_CAPITALS}{LOOK_SMALL}]+\\z"), F.translate(cyrillic, *DIGIT_LETTERS))
+        )
+        return F.when(t.rlike(r"[\u0400-\u04ff]"), own).otherwise(F.concat_ws(" ", t, more))
+
+    return F.array_join(F.transform(F.filter(F.split(F.translate(c, *GREEK), r"\s+"), lambda t: t != ""), word), " ")
+
+
 def stable_hash(c: Column) -> Column:
     """h = 31 h + code of each sign, modulo 2 to the 32."""
     return F.aggregate(F.filter(F.split(c, ""), lambda s: s != ""), F.lit(0).cast("long"), lambda h, s: F.pmod(h * 31 + F.ascii(s), F.lit(4294967296)))

@@ -119,14 +119,27 @@ def fulltext_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return any_keyword(load(spark, sf_dir, "documents").withColumn("__stems", stems("text")), F.col("__stems"), wanted).select("doc_id")
 
 
-_LOOKS = ("ABCEHKMOPTXYaceopxy", "АВСЕНКМОРТХУасеорху")
+def homoglyph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with look-alike letters in the script they belong to."""
+    return load(spark, sf_dir, "field_candidates").where("value is not null").select("candidate_id", T.fold_looks(F.col("value")).alias("folded"))
 
 
-def homoglyph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that mix alphabets, in Cyrillic letters."""
-    c = load(spark, sf_dir, "field_candidates").where("value is not null")
-    fold = F.array_join(F.transform(F.split("value", " "), lambda t: F.when(t.rlike("[А-Яа-яЁё]"), F.translate(t, *_LOOKS)).otherwise(t)), " ")
-    return c.select("candidate_id", fold.alias("folded"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.explode(F.split("text", r"[\n.!?]+ *"))
+    return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", lines.alias("line"))
+
+
+def year_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of each text: those of lines that speak of a harvest, else the only year of the other lines; lines of foundation or bottling do not count."""
+    years = F.transform(F.regexp_extract_all("line", F.lit(T.VINTAGE), F.lit(1)), lambda y: y.cast("int"))
+    found = _lines(spark, sf_dir).where(~F.lower("line").rlike(T.NO_HARVEST)).select("doc_id", F.lower("line").rlike(T.HARVEST).alias("is_marked"), F.explode(years).alias("year")).distinct()
+    each = found.groupBy("doc_id").agg(F.collect_set(F.when(F.col("is_marked"), F.col("year"))).alias("marked"), F.collect_set("year").alias("all"))
+    return each.where((F.size("marked") > 0) | (F.size("all") == 1)).select("doc_id", F.explode(F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.col("all"))).alias("year"), (F.size("marked") > 0).alias("is_marked"))
+
+
+def strength_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strengths printed on the lines of each text, also behind ``alc``."""
+    return _lines(spark, sf_dir).select("doc_id", F.explode(T.line_strengths(F.col("line"))).alias("strength")).groupBy("doc_id", "strength").agg(F.count("*").alias("n"))
 
 
 _TAGS = (("fruit", "груш|слив|вишн|яблок|pear|plum|cherry|apple"), ("oak", "дуб|ванил|oak|vanilla"), ("price", "цен|бюджет|₽|rouble"), ("service", "сотрудник|хозяин|staff|owner"), ("food", "сыр|рыб|шашлык|cheese|lamb|perch"))
@@ -173,7 +186,7 @@ def first_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     token_idf, token_blocking, field_search_exact, field_search_fuzzy, phonetic_keys, homophones, sugar_levels, year_extract, year_candidates, abv_extract, line_candidates, alias_cooccurrence,
-    generic_tokens, fulltext_any, fulltext_stemmed, homoglyph_fold, taste_tags, rule_chain, stable_hash, best_profile, first_proposal,
+    generic_tokens, fulltext_any, fulltext_stemmed, homoglyph_fold, year_lines, strength_lines, taste_tags, rule_chain, stable_hash, best_profile, first_proposal,
 )}
 
 
@@ -221,7 +234,12 @@ ORACLES = {
     "alias_cooccurrence": f"WITH p AS (SELECT row_id, l, unnest(r) AS r FROM (SELECT row_id, unnest({_words('winery')}) AS l, {_words('region')} AS r FROM catalog_wines)), t AS (SELECT l, count(DISTINCT row_id) AS total FROM p GROUP BY 1) SELECT l AS left, r AS right, count(DISTINCT row_id) AS seen, round(count(DISTINCT row_id) / total, 6) AS share FROM p JOIN t USING (l) GROUP BY l, r, total HAVING count(DISTINCT row_id) >= 2 AND count(DISTINCT row_id) / total >= 0.3",
     "generic_tokens": f"WITH t AS (SELECT canon_id, unnest({_words('canon_value')}) AS token FROM canonical_values WHERE field = 'winery') SELECT token, count(DISTINCT canon_id) AS n_owners FROM t GROUP BY 1 HAVING count(DISTINCT canon_id) > 2",
     "fulltext_any": f"WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents) SELECT doc_id FROM d WHERE " + " OR ".join("list_has_all(w, [" + ", ".join(f"'{x}'" for x in k) + "])" for k in _KEYWORDS),
-    "homoglyph_fold": f"SELECT candidate_id, array_to_string(list_transform(string_split(value, ' '), lambda t: CASE WHEN regexp_matches(t, '[А-Яа-яЁё]') THEN translate(t, '{_LOOKS[0]}', '{_LOOKS[1]}') ELSE t END), ' ') AS folded FROM field_candidates WHERE value IS NOT NULL",
+    "homoglyph_fold": f"WITH t AS (SELECT candidate_id, unnest(list_filter(string_split_regex(translate(value, '{T.GREEK[0]}', '{T.GREEK[1]}'), '\\s+'), lambda x: x <> '')) AS t, unnest(range(1, len(list_filter(string_split_regex(translate(value, '{T.GREEK[0]}', '{T.GREEK[1]}'), '\\s+'), lambda x: x <> '')) + 1)) AS i FROM field_candidates WHERE value IS NOT NULL), k AS (SELECT *, translate(t, '{T.LOOKS[0]}', '{T.LOOKS[1]}') AS k, regexp_replace(t, '[^\\p{{L}}]', '', 'g') AS b FROM t), "
+    + "o AS (SELECT *, CASE WHEN length(regexp_replace(t, '[^0-9]', '', 'g')) = 1 THEN regexp_replace(regexp_replace(k, '(\\p{L})3', '\\1З', 'g'), '3(\\p{L})', 'З\\1', 'g') ELSE k END AS o FROM k), "
+    + f"f AS (SELECT candidate_id, i, CASE WHEN regexp_matches(t, '[\u0400-\u04ff]') THEN o ELSE concat_ws(' ', t, CASE WHEN length(b) < {T.LEAST_LETTERS} THEN NULL WHEN t = upper(t) AND regexp_full_match(b, '[{T.LOOK_CAPITALS}]+') THEN o WHEN t = upper(t) AND contains(t, 'U') THEN replace(t, 'U', 'V') WHEN regexp_matches(t, '[63]') AND regexp_full_match(b, '[{T.LOOK_CAPITALS}{T.LOOK_SMALL}]+') THEN translate(k, '{T.DIGIT_LETTERS[0]}', '{T.DIGIT_LETTERS[1]}') END) END AS f FROM o) "
+    + "SELECT candidate_id, coalesce(string_agg(f, ' ' ORDER BY i), '') AS folded FROM (SELECT candidate_id FROM field_candidates WHERE value IS NOT NULL) LEFT JOIN f USING (candidate_id) GROUP BY 1",
+    "year_lines": f"WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\\n.!?]+ *')) AS line FROM documents WHERE text IS NOT NULL), y AS (SELECT DISTINCT doc_id, regexp_matches(lower(line), '{T.HARVEST}') AS m, unnest(regexp_extract_all(' ' || line || ' ', '[^\\d./-](19[5-9]\\d|20[0-2]\\d)(?:[^\\d./-]|[./-][^\\d])', 1))::INT AS year FROM l WHERE NOT regexp_matches(lower(line), '{T.NO_HARVEST}')), g AS (SELECT doc_id, list(DISTINCT year) FILTER (m) AS marked, list(DISTINCT year) AS ys FROM y GROUP BY 1) SELECT doc_id, unnest(CASE WHEN len(marked) > 0 THEN marked ELSE ys END) AS year, coalesce(len(marked) > 0, false) AS is_marked FROM g WHERE len(marked) > 0 OR len(ys) = 1",
+    "strength_lines": r"WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\n.!?]+ *')) AS line FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(' ' || line || ' ', '[^\d.,](\d{1,2}(?:[.,]\d)?)\s*(?:%|об[^а-яёa-z0-9_])', 1), regexp_extract_all(' ' || line || ' ', '(?i)[^a-z0-9_а-яё]alc\.?\s*(\d{1,2}(?:[.,]\d)?)[^\d.,]', 1))) AS s FROM l) SELECT doc_id, replace(s, ',', '.')::DOUBLE AS strength, count(*) AS n FROM f WHERE replace(s, ',', '.')::DOUBLE BETWEEN 1 AND 30 GROUP BY 1, 2",
     "taste_tags": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in _TAGS) + "], lambda x: x IS NOT NULL), ',') AS tags FROM documents WHERE text IS NOT NULL",
     "rule_chain": r"WITH t AS (SELECT source, lower(nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(8195) || chr(8201) || chr(12288)), '')) AS t FROM documents) SELECT source, CASE WHEN t IS NULL THEN 'blank' WHEN regexp_matches(t, 'сомелье:|sommelier:|гость:|guest:') THEN 'dialogue' WHEN regexp_matches(t, 'price=\d+;stock=') THEN 'record' WHEN length(t) > 800 THEN 'long' ELSE 'plain' END AS kind, count(*) AS n FROM t GROUP BY ALL",
     "stable_hash": f"SELECT row_id, {_HASH.format(c='slug')} % 12 AS bucket FROM catalog_wines WHERE slug IS NOT NULL",

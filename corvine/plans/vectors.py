@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvine.operators.vectors import cosine, fused, neighbours, normalised, owner_votes, root_descriptor
 from corvine.sources.tables import load
@@ -47,6 +48,15 @@ def sift_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owner_votes(_near8(spark, sf_dir), e.select(F.col("vec_id").alias("id"), F.col("label").alias("owner")))
 
 
+def photo_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of all query vectors of a photo (two of them stand for one) added up, best 24 owners of each photo."""
+    e, _ = _vectors(spark, sf_dir)
+    votes = owner_votes(_near8(spark, sf_dir), e.select(F.col("vec_id").alias("id"), F.col("label").alias("owner")))
+    total = votes.groupBy(F.floor(F.col("query_id") / 100).alias("photo"), "owner").agg(F.round(F.sum("score"), 5).alias("votes"), F.count("*").alias("n_vectors"))
+    order = Window.partitionBy("photo").orderBy(F.desc("votes"), "owner")
+    return total.withColumn("rank", F.row_number().over(order)).where("rank <= 24")
+
+
 def lowe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose nearest distance is below 0.99 of the second."""
     near = neighbours(*_vectors(spark, sf_dir), 2).withColumn("d", F.sqrt(2 - 2 * F.col("similarity")))
@@ -75,7 +85,7 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", total(normalised(F.col("embedding"))).alias("sum_unit"), total(root_descriptor(F.col("embedding"))).alias("sum_root"))
 
 
-QUERIES = {f.__name__: f for f in (knn_exact, knn_scores_for, audit_peers, audit_orphans, sift_votes, lowe_ratio, visual_fusion, status_thresholds, vector_norms)}
+QUERIES = {f.__name__: f for f in (knn_exact, knn_scores_for, audit_peers, audit_orphans, sift_votes, photo_votes, lowe_ratio, visual_fusion, status_thresholds, vector_norms)}
 
 _PAIRS = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (
   SELECT q.vec_id AS query_id, d.vec_id AS id, d.label, q.label AS q_label, round(list_cosine_similarity(q.v, d.v), 6) AS similarity FROM e q, e d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
@@ -89,6 +99,7 @@ ORACLES = {
     "audit_peers": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS peer_id, round(list_cosine_similarity(q.v, d.v), 6) AS similarity FROM e q JOIN e d ON q.label = d.label AND q.vec_id <> d.vec_id) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, peer_id) = 1 AND similarity >= 0.1",
     "audit_orphans": _PAIRS + ", b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM s WHERE id % 50 <> 0) SELECT label, query_id, id, similarity FROM b WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, query_id) = 1",
     "sift_votes": _PAIRS + "SELECT * FROM votes",
+    "photo_votes": _PAIRS + "SELECT query_id // 100 AS photo, owner, round(sum(score), 5) AS votes, count(*) AS n_vectors, row_number() OVER (PARTITION BY query_id // 100 ORDER BY round(sum(score), 5) DESC, owner) AS rank FROM votes GROUP BY 1, 2 QUALIFY rank <= 24",
     "lowe_ratio": _PAIRS + ", t AS (SELECT query_id, max(sqrt(2 - 2 * similarity)) FILTER (rank = 1) AS d1, max(sqrt(2 - 2 * similarity)) FILTER (rank = 2) AS d2 FROM r GROUP BY 1) SELECT query_id, round(d1 / d2, 4) AS ratio, d1 < 0.99 * d2 AS is_good FROM t",
     "visual_fusion": _PAIRS + "SELECT * FROM fus",
     "status_thresholds": _PAIRS + ", t AS (SELECT query_id, max(score) AS top, list_sort(list(score), 'DESC')[2] AS second FROM fus GROUP BY 1) SELECT query_id, top, round(top - coalesce(second, 0), 4) AS margin, CASE WHEN top >= 0.3 AND round(top - coalesce(second, 0), 4) >= 0.015 THEN 'matched' WHEN top >= 0.12 THEN 'uncertain' ELSE 'not_found' END AS status FROM t",

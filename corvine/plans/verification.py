@@ -16,7 +16,8 @@ from corvine.operators.catalog import keep_first
 from corvine.operators.ranking import MIN_MARGIN, TEMPERATURE, TOTAL, WEIGHTS, distribution, ranked, spelt_out
 from corvine.operators.search import linked_tokens
 from corvine.operators.verification import LEAST_VISUAL, MANY_OWNERS, ORANGE, ORANGE_WORDS, STYLE_WORDS, VISUAL_TEMPERATURE, decide_checked, distinctive_words, full_evidence, verify
-from corvine.plans.search import _level, _words
+from corvine.operators.labels import winery_first, without
+from corvine.plans.search import _latin, _level, _words
 from corvine.session import cut, ship_package
 from corvine.sources.tables import load
 
@@ -178,3 +179,89 @@ ORACLES: dict[str, str] = {
     "verify_exact": _V + "SELECT scan_id, slug, kind, is_fully_read FROM ck",
     "decide_exact": _V + f"SELECT scan_id, winner, score, margin, CASE WHEN n_free > 0 AND (visual >= {LEAST_VISUAL} OR (visual > 0 AND wname > 0) OR (wname > 0 AND wfully)) AND margin >= {MIN_MARGIN} THEN 'matched' ELSE 'not_found' END AS status FROM dc",
 }
+
+
+# Words of labels that name a category.
+SYNONYMS = {
+    "розовое": ("rose", "roze", "rosato", "rosado", "blush"), "белое": ("blanc", "bianco", "blanco", "white", "weiss", "byanko"),
+    "красное": ("rouge", "rosso", "tinto", "red", "rot", "ruzh"), "оранжевое": ("orange", "oranzh"),
+}
+
+
+def _search_sides(spark: SparkSession, sf_dir: str, fuzzy: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """wineries, names, names of each winery, queries, links, weak words. A scan is searched by the readings with a score of 0.4 or more."""
+    ship_package(spark)
+    fold = _fold if fuzzy else _plain
+    items = cut(_items(spark, sf_dir).select("name", "winery", "grapes"))
+    split = lambda df, c: df.select(F.col(c).alias("value")).where("value is not null").distinct().select("value", F.explode(fold(raw_tokens(F.col("value")))).alias("token"))
+    wineries = cut(split(items, "winery"))
+    pairs = items.where("name is not null and winery is not null").select("name", "winery").distinct()
+    shared = pairs.join(wineries.withColumnRenamed("value", "winery"), "winery").select(F.col("name").alias("value"), "token").distinct()
+    names = cut(without(split(items, "name"), shared))
+    names_of = pairs.join(names.withColumnRenamed("value", "name"), "name").select("winery", F.col("name").alias("value"), "token")
+    weak = cut(split(items.select(F.explode("grapes").alias("grape")), "grape").select("token").distinct())
+    queries = cut(_label_words(_reads(spark, sf_dir).where("score >= 0.4"), fold).withColumnRenamed("scan_id", "query_id"))
+    vocabulary, read = wineries.select("token").union(names.select("token")).union(weak).distinct(), queries.select(F.col("query").alias("token")).distinct()
+    links = linked_tokens(vocabulary, read) if fuzzy else vocabulary.join(read, "token").select("token", F.col("token").alias("query"), F.lit(1.0).alias("similarity"))
+    return wineries, names, names_of, queries, cut(links), weak
+
+
+def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that each label means, its winery first, with misread words."""
+    return winery_first(*_search_sides(spark, sf_dir, True))[1]
+
+
+def label_names_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where only equal words are the same."""
+    return winery_first(*_search_sides(spark, sf_dir, False))[1]
+
+
+def label_wineries_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winery_first(*_search_sides(spark, sf_dir, False))[0]
+
+
+def label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories that the words of each text name."""
+    table = F.create_map(*(F.lit(x) for value, words_ in SYNONYMS.items() for w in words_ for x in (w, value)))
+    read = load(spark, sf_dir, "documents").select("doc_id", F.explode(raw_tokens(F.col("text"))).alias("word"))
+    return read.select("doc_id", table[F.col("word")].alias("category")).where("category is not null").groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (label_names, label_names_exact, label_wineries_exact, label_categories)}
+
+_S = _V.replace("\n), label AS", "\n), label0 AS").split("\n), fb AS")[0] + rf"""
+), q AS (SELECT DISTINCT scan_id AS query_id, unnest({_words('value')}) AS query FROM c WHERE field IN ('name', 'winery', 'grape_varieties', 'region', 'category') AND value IS NOT NULL AND score >= 0.4
+), wv AS (SELECT value, unnest({_words('value')}) AS token FROM (SELECT DISTINCT winery AS value FROM w WHERE winery IS NOT NULL)
+), pr AS (SELECT DISTINCT name, winery FROM w WHERE name IS NOT NULL AND winery IS NOT NULL
+), nv0 AS (SELECT value, unnest({_words('value')}) AS token FROM (SELECT DISTINCT name AS value FROM w WHERE name IS NOT NULL)
+), xs AS (SELECT DISTINCT name AS value, token FROM pr JOIN wv ON wv.value = pr.winery
+), nv1 AS (SELECT * FROM nv0 ANTI JOIN xs USING (value, token)
+), nv AS (SELECT * FROM nv1 UNION ALL SELECT * FROM nv0 WHERE value NOT IN (SELECT value FROM nv1)
+), wk AS (SELECT coalesce(list(DISTINCT t), []) AS weak FROM (SELECT unnest({_words('g')}) AS t FROM (SELECT unnest(grapes) AS g FROM w))
+), ww0 AS (SELECT token, 1 + ln(((SELECT count(DISTINCT value) FROM wv) + 1) / (count(*) + 1)) AS weight FROM wv GROUP BY 1
+), wh AS (SELECT query_id, token, weight FROM q JOIN ww0 ON token = query
+), wpool AS (SELECT query_id, sum(weight) AS pool FROM wh GROUP BY 1
+), wwh AS (SELECT value, sum(weight) AS whole FROM wv JOIN ww0 USING (token) GROUP BY 1
+), wf AS (SELECT query_id, value, sum(weight) AS m, count(*) AS nw, max(weight) AS rarest, count(*) FILTER (NOT list_contains(weak, token)) AS strong FROM wh JOIN wv USING (token), wk GROUP BY 1, 2
+), first AS (SELECT query_id, value, round(m / pool * m / whole, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(m / pool * m / whole, 9) DESC, value) AS rank FROM wf JOIN wpool USING (query_id) JOIN wwh USING (value) WHERE strong > 0 AND (nw >= 2 OR rarest >= 2) QUALIFY rank <= 50
+), top AS (SELECT query_id, value AS winery FROM first WHERE rank = 1 AND score >= 0.5
+), rest AS (SELECT * FROM q ANTI JOIN (SELECT query_id, token AS query FROM top JOIN wv ON wv.value = top.winery) s USING (query_id, query)
+), nw0 AS (SELECT token, 1 + ln(((SELECT count(DISTINCT value) FROM nv) + 1) / (count(*) + 1)) AS weight FROM nv GROUP BY 1
+), nh AS (SELECT query_id, token, weight FROM rest JOIN nw0 ON token = query
+), npool AS (SELECT query_id, sum(weight) AS pool FROM nh GROUP BY 1
+), nwh AS (SELECT value, sum(weight) AS whole FROM nv JOIN nw0 USING (token) GROUP BY 1
+), nf AS (SELECT query_id, value, sum(weight) AS m, count(*) AS nw, max(weight) AS rarest FROM nh JOIN nv USING (token) GROUP BY 1, 2
+), cat AS (SELECT query_id, value, round(m / pool * m / whole, 4) AS score FROM nf JOIN npool USING (query_id) JOIN nwh USING (value) WHERE nw >= 2 OR rarest >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(m / pool * m / whole, 9) DESC, value) <= 50
+), ov AS (SELECT winery, value, token FROM pr JOIN nv ON nv.value = pr.name
+), ow AS (SELECT winery, token, 1 + ln((any_value(n) + 1) / (count(*) + 1)) AS weight FROM ov JOIN (SELECT winery, count(DISTINCT value) AS n FROM ov GROUP BY 1) USING (winery) GROUP BY 1, 2
+), oh AS (SELECT query_id, winery, token, weight FROM rest JOIN top USING (query_id) JOIN ow USING (winery) WHERE token = query
+), opool AS (SELECT query_id, sum(weight) AS pool FROM oh GROUP BY 1
+), owh AS (SELECT winery, value, sum(weight) AS whole FROM ov JOIN ow USING (winery, token) GROUP BY 1, 2
+), osc AS (SELECT query_id, value, round(sum(weight) / any_value(pool) * sum(weight) / any_value(whole), 4) AS score, round(sum(weight) / any_value(pool) * sum(weight) / any_value(whole), 9) AS raw FROM oh JOIN ov USING (winery, token) JOIN opool USING (query_id) JOIN owh USING (winery, value) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, value) <= 50
+), mg AS (SELECT query_id, value, round(score / max(score) OVER (PARTITION BY query_id), 4) AS score FROM osc UNION ALL SELECT query_id, value, CASE WHEN query_id IN (SELECT query_id FROM top) THEN score * 0.5 ELSE score END FROM cat)
+"""
+ORACLES |= {
+    "label_wineries_exact": _S + "SELECT query_id, value, score, rank FROM first",
+    "label_names_exact": _S + "SELECT query_id, value, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, value) AS rank FROM mg GROUP BY 1, 2 QUALIFY rank <= 50",
+    "label_categories": f"WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_latin('text')}, '[a-z0-9]+')) AS word FROM documents) SELECT doc_id, category, count(*) AS n FROM (SELECT doc_id, CASE " + " ".join(f"WHEN word IN {w} THEN '{v}'" for v, w in SYNONYMS.items()) + " END AS category FROM r) WHERE category IS NOT NULL GROUP BY 1, 2",
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,12 +19,13 @@ def _strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_table_text(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",") -> DataFrame:
+def read_table_text(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",", multi_line: bool = True) -> DataFrame:
     """A delimited file with a header: ``columns`` maps each required header (trimmed, without byte-order mark) to its new name.
 
     A missing header raises ValueError; values are trimmed and blanks become null; a quoted value may span lines.
+    With that a file is read by one task; where no value does, ``multi_line`` false splits large files.
     """
-    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').csv(path)
     names = {c.lstrip("﻿").strip(): c for c in raw.columns}
     missing = [c for c in columns if c not in names]
     if missing:
@@ -68,9 +70,28 @@ def append_version(df: DataFrame, path: str, run: int) -> None:
     df.withColumn("run_id", F.lit(run)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """Put the rows of ``df`` in the place of the table at ``path``: written beside it, then renamed, so that a reader finds the old or the new rows whole, and a run that fails leaves the old ones. ``df`` may read ``path``."""
+    spark, fresh = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, old = to_path(path), to_path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(to_path(fresh), target):
+        raise OSError(f"cannot publish {path}")
+    fs.delete(old, True)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Full refresh. ``df`` must not read ``path``."""
-    df.write.mode("overwrite").parquet(path)
+    """Full refresh of a table in one step."""
+    publish(df, path)
+
+
+def prune(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """The rows of the archives to keep; rows of no archive go as well."""
+    return df.where(F.col(column).isin(*keep))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
@@ -86,7 +107,7 @@ def tolerant_json(text: str, schema: str):
 def recorded_run(df: DataFrame, table: str, log: str, run: int, version: str) -> bool:
     """One import run: nothing to do if the last succeeded run has the same version; else the rows go to a path of their own, and only a run that wrote them all is logged as succeeded.
 
-    A failed run is logged with its error and leaves the state as it was. Returns whether rows were written.
+    The log gets a row ``running`` at the start. A failed run is logged with its error and leaves the state as it was. Returns whether rows were written.
     """
     spark = df.sparkSession
     schema = "run long, version string, path string, status string, error string"
@@ -99,11 +120,13 @@ def recorded_run(df: DataFrame, table: str, log: str, run: int, version: str) ->
         if "PATH_NOT_FOUND" not in str(missing):
             raise
     path, error = f"{table.rstrip('/')}/run={run}", None
+    note = lambda status, text: spark.createDataFrame([(run, version, path, status, text)], schema).coalesce(1).write.mode("append").json(log)
+    note("running", None)
     try:
         df.write.mode("overwrite").parquet(path)
     except Exception as failed:
         error = str(failed)[:500]
         raise
     finally:
-        spark.createDataFrame([(run, version, path, "failed" if error else "succeeded", error)], schema).coalesce(1).write.mode("append").json(log)
+        note("failed" if error else "succeeded", error)
     return True
