@@ -15,7 +15,7 @@ from corvine.functions.tokens import STOP_WORDS, latin_words, phonetic_key, raw_
 from corvine.operators.catalog import keep_first
 from corvine.operators.ranking import MIN_MARGIN, TEMPERATURE, TOTAL, WEIGHTS, distribution, ranked, spelt_out
 from corvine.operators.search import linked_tokens
-from corvine.operators.verification import LEAST_VISUAL, MANY_OWNERS, ORANGE, ORANGE_WORDS, STYLE_WORDS, VISUAL_TEMPERATURE, decide_checked, distinctive_words, full_evidence, verify
+from corvine.operators.verification import LEAST_VISUAL, MANY_OWNERS, ORANGE, ORANGE_WORDS, STYLE_WORDS, VISUAL_TEMPERATURE, decide_checked, distinctive_words, full_evidence, owned_by_many, verify
 from corvine.operators.labels import winery_first, without
 from corvine.plans.search import _latin, _level, _words
 from corvine.session import cut, ship_package
@@ -265,3 +265,71 @@ ORACLES |= {
     "label_names_exact": _S + "SELECT query_id, value, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, value) AS rank FROM mg GROUP BY 1, 2 QUALIFY rank <= 50",
     "label_categories": f"WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_latin('text')}, '[a-z0-9]+')) AS word FROM documents) SELECT doc_id, category, count(*) AS n FROM (SELECT doc_id, CASE " + " ".join(f"WHEN word IN {w} THEN '{v}'" for v, w in SYNONYMS.items()) + " END AS category FROM r) WHERE category IS NOT NULL GROUP BY 1, 2",
 }
+
+
+#: How far down the ranking of a scan recommendations are sought, and how many are given.
+POOL, RECOMMENDED = 30, 3
+_SHARED = ("name", "winery", "grape_varieties", "category", "sweetness", "region", "year")
+
+
+def _recommended(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    """For scans that did not match: the first three of their first 30 items that share something distinctive with the label.
+
+    That is a word of the item's own name (no winery, style or grape, used by two wineries at
+    most), or the winery together with grape, category or sweetness that were read best.
+    """
+    fold = _fold if fuzzy else _plain
+    scored, checks = _checked(spark, sf_dir, fuzzy)
+    lost = cut(decide_checked(scored, cut(checks), _pictures(spark, sf_dir), "scan_id", "slug")).where("status <> 'matched'").select("scan_id")
+    pool = cut(ranked(scored.where("evidence > 0").join(lost, "scan_id", "left_semi"), "scan_id", "slug", F.lit(False), POOL).select("scan_id", "slug", "evidence"))
+    items, reads = _items(spark, sf_dir), _reads(spark, sf_dir)
+    long = lambda c: F.filter(fold(raw_tokens(c)), lambda t: F.length(t) >= 5)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    # words that more than two wineries use in names or in their own name
+    used = items.select("winery", F.explode(F.array_union(long(text(F.col("name"))), long(text(F.col("winery"))))).alias("token"))
+    common = cut(owned_by_many(used, "token", "winery"))
+    wanted = cut(items.join(pool.select("slug").distinct(), "slug", "left_semi"))
+    style = fold(F.array(*map(F.lit, latin_words(STYLE_WORDS))))
+    own = F.array_except(F.array_except(F.array_except(long(text(F.col("name"))), style), long(F.array_join("grapes", " "))), long(text(F.col("winery"))))
+    tokens = wanted.select("slug", F.explode(own).alias("token")).join(common, "token", "left_anti")
+    label = cut(_label_words(reads.join(pool.select("scan_id").distinct(), "scan_id", "left_semi"), fold))
+    if fuzzy:
+        # words like one of the winery's are the winery's
+        makers = wanted.select("slug", F.explode(long(text(F.col("winery")))).alias("query"))
+        brand = linked_tokens(tokens.select("token").distinct(), makers.select(F.col("query").alias("token")).distinct())
+        tokens = cut(tokens.join(makers.join(brand, "query").select("slug", "token").distinct(), ["slug", "token"], "left_anti"))
+        links = linked_tokens(tokens.select("token").distinct(), label.select(F.col("query").alias("token")).distinct())
+        seen = tokens.join(links.select("token", "query"), "token").select("slug", "query").distinct()
+    else:
+        seen = tokens.withColumnRenamed("token", "query")
+    named = pool.join(seen, "slug").join(label, ["scan_id", "query"]).select("scan_id", "slug").distinct().withColumn("has_name", F.lit(True))
+    proper = wanted.select("winery").distinct().select("winery", F.explode(fold(raw_tokens(text(F.col("winery"))))).alias("token")).join(common, "token", "left_anti").select("winery").distinct().withColumn("is_proper", F.lit(True))
+    best = keep_first(reads.where("value is not null"), ["scan_id", "field"], [F.col("score").desc_nulls_last(), F.col("value")])
+    tops = best.groupBy("scan_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"top_{f}") for f in _SHARED if f != "name"))
+    rows = pool.join(wanted, "slug").join(named, ["scan_id", "slug"], "left").join(proper, "winery", "left").join(tops, "scan_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    has = {f: yes(F.col(f"top_{f}") == F.col(f)) for f in ("category", "sweetness", "region", "year")}
+    has |= {"name": yes(F.col("has_name")), "winery": yes(F.col("top_winery") == F.col("winery")) & yes(F.col("is_proper")), "grape_varieties": yes(F.array_contains("grapes", F.col("top_grape_varieties")))}
+    related = has["name"] | (has["winery"] & (has["grape_varieties"] | has["category"] | has["sweetness"]))
+    shared = F.concat_ws(",", *(F.when(has[f], F.lit(f)) for f in _SHARED))
+    return ranked(rows.where(related).select("scan_id", "slug", "evidence", shared.alias("shared_fields")), "scan_id", "slug", F.lit(False), RECOMMENDED)
+
+
+def recommend_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recommended(spark, sf_dir, True)
+
+
+def recommend_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recommended(spark, sf_dir, False)
+
+
+QUERIES |= {f.__name__: f for f in (recommend_label, recommend_exact)}
+ORACLES["recommend_exact"] = _V + rf""", st AS (SELECT scan_id FROM dc WHERE NOT (n_free > 0 AND (visual >= {LEAST_VISUAL} OR (visual > 0 AND wname > 0) OR (wname > 0 AND wfully)) AND margin >= {MIN_MARGIN})
+), pool AS (SELECT scan_id, slug, evidence FROM ev SEMI JOIN st USING (scan_id) WHERE evidence > 0 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY evidence DESC, slug) <= {POOL}
+), cm AS (SELECT coalesce(list(t), []) AS cm FROM (SELECT t FROM (SELECT DISTINCT winery, unnest(list_concat(nw, ww)) AS t FROM w) WHERE length(t) >= 5 GROUP BY t HAVING count(DISTINCT winery) > {MANY_OWNERS})
+), tops AS (SELECT scan_id, {", ".join(f"max(value) FILTER (field = '{f}') AS top_{f}" for f in _SHARED if f != "name")} FROM (SELECT scan_id, field, value FROM c WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scan_id, field ORDER BY score DESC NULLS LAST, value) = 1) GROUP BY 1
+), r0 AS (SELECT pool.*, w.*  EXCLUDE (slug), tops.* EXCLUDE (scan_id), cm, coalesce(words, []) AS words, coalesce({_words("array_to_string(grapes, ' ')")}, []) AS gt FROM pool JOIN w USING (slug) LEFT JOIN tops USING (scan_id) LEFT JOIN label USING (scan_id), cm
+), r1 AS (SELECT *, len(list_filter(nw, lambda t: length(t) >= 5 AND NOT list_contains({_list(latin_words(STYLE_WORDS))}, t) AND NOT list_contains(gt, t) AND NOT list_contains(ww, t) AND NOT list_contains(cm, t) AND list_contains(words, t))) > 0 AS s_name,
+   coalesce(top_winery = winery, false) AND len(list_filter(ww, lambda t: NOT list_contains(cm, t))) > 0 AS s_winery, coalesce(list_contains(grapes, top_grape_varieties), false) AS s_grape_varieties, {", ".join(f"coalesce(top_{f} = {f}, false) AS s_{f}" for f in ("category", "sweetness", "region", "year"))} FROM r0)
+SELECT scan_id, slug, evidence, concat_ws(',', {", ".join(f"CASE WHEN s_{f} THEN '{f}' END" for f in _SHARED)}) AS shared_fields, row_number() OVER (PARTITION BY scan_id ORDER BY evidence DESC, slug) AS rank FROM r1 WHERE s_name OR (s_winery AND (s_grape_varieties OR s_category OR s_sweetness)) QUALIFY rank <= {RECOMMENDED}
+"""
