@@ -12,6 +12,8 @@ from corvine.session import cut
 
 FIELDS = ("name", "category", "color", "region", "grape_varieties", "description", "winery", "source_image_filename")
 MULTI_VALUED = frozenset({"grape_varieties"})
+#: Probability from which a value is judged true.
+KEEP = 0.5
 #: 3 ** MAX_SOURCES patterns at most come to the driver.
 MAX_SOURCES = 10
 
@@ -70,8 +72,8 @@ class Survivors:
         keyed = rows.select(slug_key(F.col("slug")).alias("slug"), "row_id", "feed", "loaded_at", "raw_record_count", "source_row_no", *fields)
         self.rows, self.sources = _indexed(keyed.where(F.col("slug").isNotNull()), feeds)
 
-    def facts(self, hashed: bool = False) -> DataFrame:
-        """slug, field, value, claim: the distinct real values of each group and the set of sources (bits) that give them. ``hashed``: 64 bits stand for the value."""
+    def facts(self) -> DataFrame:
+        """slug, field, value, claim: the distinct real values of each group and the set of sources (bits) that give them."""
         # a slug with one row says nothing about agreement
         many_rows = self.rows.groupBy("slug").agg(F.count("*").alias("n")).where(F.col("n") >= 2).select("slug")
         packed = self.rows.join(many_rows, "slug", "left_semi").select("*", *(packed_values(F.col(f)).alias(f"__packed_{f}") for f in self.fields if f in MULTI_VALUED))
@@ -81,8 +83,6 @@ class Survivors:
             if field in MULTI_VALUED:
                 many = F.col(f"__packed_{field}")
                 one = F.when(F.size(many) > 0, F.transform(many, F.lower)).otherwise(one)
-            if hashed:
-                one = F.transform(one, lambda v: F.xxhash64(v))
             values.append(F.struct(F.lit(field).alias("field"), F.when(is_real(F.col(field)), one).alias("vs")))
         long = packed.select("slug", "bit", F.explode(F.array(*values)).alias("f")).select("slug", "bit", "f.field", F.explode("f.vs").alias("value"))
         return long.groupBy("slug", "field", "value").agg(F.bit_or("bit").alias("claim"))
@@ -94,19 +94,30 @@ class Survivors:
         rows = [(p[0], p[1], float(t)) for p, t in zip(found, truth)]
         return patterns.sparkSession.createDataFrame(rows, "claim long, cover long, truth double")
 
-    def profiles(self) -> DataFrame:
-        """slug, field, cover, claims: how many values each set of sources gives (at most 2 to the number of sources entries)."""
-        sets = self.facts(hashed=True).groupBy("slug", "field", "claim").agg(F.count("*").alias("n"))
-        return sets.groupBy("slug", "field").agg(F.bit_or("claim").alias("cover"), F.collect_list(F.struct("claim", "n")).alias("claims"))
+    def candidates(self) -> DataFrame:
+        """group_row_id, field, cover, claims (how many values each set of sources gives, at most 2 to the number of sources entries), best (the first row, by the declared order, that gives any of them).
 
-    def summary(self) -> DataFrame:
-        """slug, field, n_values, n_kept, truth (of the best value) after the model."""
-        flat = cut(self.profiles()).select("slug", "field", "cover", F.inline("claims").alias("claim", "n"))
-        truth = self._fit(flat.groupBy("claim", "cover").agg(F.sum("n").alias("n")))
+        A value is 64 bits of its hash here. Rows meet their group with hashes instead of texts; the
+        facts are combined before they move, so that a large group is spread over its fields and values.
+        """
+        plain, many = [f for f in self.fields if f not in MULTI_VALUED], [f for f in self.fields if f in MULTI_VALUED]
+        hashes = [F.when(is_real(F.col(f)), F.xxhash64(F.lower(clean(F.col(f))))).alias(f) for f in plain]
+        groups = self.rows.groupBy("slug").agg(F.min("row_id").alias("group_row_id"), F.count("*").alias("n")).where(F.col("n") >= 2).select("slug", "group_row_id")
+        # packed values are only taken apart in rows that have a group
+        met = self.rows.select("slug", "bit", self._order().alias("place"), *hashes, *many).join(groups, "slug")
+        split = met.select("group_row_id", "bit", "place", *plain, *many, *(packed_values(F.col(f)).alias(f"__packed_{f}") for f in many))
+        own = {f: F.array(F.col(f)) for f in plain}
+        for f in many:
+            parts = F.col(f"__packed_{f}")
+            own[f] = F.when(is_real(F.col(f)), F.when(F.size(parts) > 0, F.transform(parts, lambda v: F.xxhash64(F.lower(v)))).otherwise(F.array(F.xxhash64(F.lower(clean(F.col(f)))))))
+        met = split.select("group_row_id", "bit", "place", F.posexplode(F.array(*(own[f] for f in self.fields))).alias("f", "vs")).select("group_row_id", "bit", "place", "f", F.explode("vs").alias("value")).where(F.col("value").isNotNull())
+        facts = met.select("group_row_id", F.col("f").cast("byte").alias("f"), "value", "bit", "place").groupBy("group_row_id", "f", "value").agg(F.bit_or("bit").alias("claim"), F.max("place").alias("place"))
+        sets = facts.groupBy("group_row_id", "f", "claim").agg(F.count("*").alias("n"), F.max("place").alias("place"))
+        names = F.array(*map(F.lit, self.fields))
         return (
-            flat.join(truth, ["claim", "cover"])
-            .groupBy("slug", "field")
-            .agg(F.sum("n").alias("n_values"), F.sum(F.when(F.col("truth") >= 0.5, F.col("n")).otherwise(0)).alias("n_kept"), F.max("truth").alias("truth"))
+            sets.groupBy("group_row_id", "f")
+            .agg(F.bit_or("claim").alias("cover"), F.collect_list(F.struct("claim", "n")).alias("claims"), F.max("place").alias("best"))
+            .select("group_row_id", F.get(names, F.col("f").cast("int")).alias("field"), "cover", "claims", (-F.col("best.last")).alias("best_row_id"))
         )
 
     def judged(self) -> DataFrame:
@@ -114,25 +125,27 @@ class Survivors:
         facts = self.facts()
         joined = facts.join(facts.groupBy("slug", "field").agg(F.bit_or("claim").alias("cover")), ["slug", "field"])
         truth = self._fit(joined.groupBy("claim", "cover").agg(F.count("*").alias("n")))
-        return joined.join(truth, ["claim", "cover"]).select("slug", "field", "value", "claim", "cover", "truth", (F.col("truth") >= 0.5).alias("kept"))
+        return joined.join(truth, ["claim", "cover"]).select("slug", "field", "value", "claim", "cover", "truth", (F.col("truth") >= KEEP).alias("kept"))
 
     def _order(self) -> Column:
         """Trust, then latest load, most records, first row number, first row id; nulls are least, as null structs fields sort first."""
-        return F.struct(
-            F.col("trust"), F.col("loaded_at"), F.coalesce("raw_record_count", F.lit(0)), (-F.col("source_row_no").cast("long")), (-F.col("row_id")).alias("last"), F.col("row_id")
-        )
+        return F.struct(F.col("trust"), F.col("loaded_at"), F.coalesce("raw_record_count", F.lit(0)).alias("count"), (-F.col("source_row_no").cast("long")).alias("no"), (-F.col("row_id")).alias("last"))
 
     def records(self) -> DataFrame:
         """group_row_id, field, best_row_id, n_values, n_kept, truth: what survives of each field.
 
-        The model judges the values of the field; the row that speaks for it is then the one that comes first by the declared order.
+        The candidates of a field are the values that the model judges, with how likely each is;
+        of the rows that give one of them the declared order names the one that speaks for the field.
         """
-        best = [F.max(F.when(is_real(F.col(f)), self._order())).alias(f"best_{f}") for f in self.fields]
-        groups = self.rows.groupBy("slug").agg(F.min("row_id").alias("group_row_id"), F.count("*").alias("n_rows"), *best).where(F.col("n_rows") >= 2)
-        winners = groups.select(
-            "slug", "group_row_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"best_{f}.row_id").alias("best_row_id")) for f in self.fields))).alias("w")
-        ).select("slug", "group_row_id", "w.field", "w.best_row_id")
-        return winners.where(F.col("best_row_id").isNotNull()).join(self.summary(), ["slug", "field"]).select("group_row_id", "field", "best_row_id", "n_values", "n_kept", F.round("truth", 6).alias("truth"))
+        judged = cut(self.candidates())
+        flat = judged.select("group_row_id", "field", "cover", "best_row_id", F.inline("claims").alias("claim", "n"))
+        truth = self._fit(flat.groupBy("claim", "cover").agg(F.sum("n").alias("n")))
+        kept = F.sum(F.when(F.col("truth") >= KEEP, F.col("n")).otherwise(0)).alias("n_kept")
+        return (
+            flat.join(truth, ["claim", "cover"])
+            .groupBy("group_row_id", "field", "best_row_id")
+            .agg(F.sum("n").alias("n_values"), kept, F.round(F.max("truth"), 6).alias("truth"))
+        )
 
     def values(self) -> DataFrame:
         """group_row_id, field, value, truth, kept of each value in a group of two or more rows."""

@@ -47,3 +47,36 @@ def test_model_finds_the_qualities():
     got_sens, got_spec, probability = fit_sources(patterns, 3, 300)
     assert np.abs(got_sens - sens).max() < 0.06 and np.abs(got_spec - spec).max() < 0.06
     assert dict(zip([p[0] for p in patterns], probability))[7] > 0.9
+
+
+def test_planted_values_are_kept(spark):
+    """Three sources of known quality over groups with planted true values: the model keeps true ones and drops most false ones, also several of one field."""
+    rng = np.random.default_rng(5)
+    rows, true, n = [], {}, 0
+    for g in range(400):
+        truth = {f"true{g}", f"also{g}"}
+        for feed, right, wrong in (("producer", 0.95, 0.02), ("crawler", 0.9, 0.6), (None, 0.9, 0.1)):
+            given = [v for v in sorted(truth) if rng.random() < right] + [f"false{g}" for _ in range(1) if rng.random() < wrong]
+            n += 1
+            rows.append(_row(n, f"g{g}", feed, grape_varieties=", ".join(given) or None, name="x"))
+            true[f"g{g}"] = truth
+    model = _model(spark, rows)
+    first = {min(3 * g + 1, 3 * g + 3): f"g{g}" for g in range(400)}
+    kept = {}
+    for r in model.values().where("field = 'grape_varieties' and kept").collect():
+        kept.setdefault(first[r.group_row_id], set()).add(r.value)
+    hits = sum(len(kept.get(g, set()) & t) for g, t in true.items())
+    wrong = sum(len(kept.get(g, set()) - t) for g, t in true.items())
+    assert hits > 0.97 * 800 * 0.99 and wrong < 60
+    summary = {r.group_row_id: r for r in model.records().where("field = 'grape_varieties'").collect()}
+    assert all(r.n_kept == len(kept.get(first[i], ())) for i, r in summary.items())
+    quality = {r.feed: (r.sensitivity, r.specificity) for r in model.source_quality().collect()}
+    assert quality["crawler"][1] < 0.6 < 0.85 < quality["producer"][1]
+
+
+def test_one_group_with_many_values(spark):
+    """A third of all rows in one group, each with another text."""
+    rows = [_row(i, "hot", "producer", day=1 + i % 20, name=f"n{i}", color="red") for i in range(300)] + [_row(1000 + i, f"s{i // 2}", "crawler", name="a") for i in range(600)]
+    found = {(r.group_row_id, r.field): r for r in _model(spark, rows).records().collect()}
+    assert found[0, "name"].n_values == 300 and found[0, "name"].best_row_id == 19 and found[0, "color"].n_values == 1
+    assert len(found) == 302
