@@ -65,10 +65,11 @@ def pack(sizes: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
     its own, and a rest that is packed like any item; no other item is cut. Items are dealt by
     hash into shards of bounded size that are packed on their own. Items of size 0 (null and
     empty texts) lie in the first container of their shard. A null doc_id is an item as well;
-    repeated items are packed as often as they come. An empty table gives no row.
+    repeated items are packed as often as they come. An empty table gives no row. ``sizes`` is
+    read twice, so it should be a written table (see ``pack_specs``).
     """
     ship_package(sizes.sparkSession)
-    sizes = cut(sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")))
+    sizes = sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
     shards = max(1, -(-sizes.count() // shard))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +87,7 @@ def pack(sizes: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
                 out.append((base + bin_, doc, whole, whole * capacity, total - whole * capacity))
         return pd.DataFrame(out, columns=_PLACED.names).astype({"container_id": "int64", "doc_id": "Int64", "part": "int32", "start": "int64", "n_tokens": "int64"})
 
-    keyed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(shards)))
+    keyed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)))
     return keyed.groupBy("shard").applyInPandas(run, _PLACED)
 
 
