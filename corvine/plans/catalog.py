@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions.text import clean, media_stem, picture_key, slug_key
@@ -179,17 +179,18 @@ def sample_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_by_hash(_wines(spark, sf_dir).select("row_id", "slug"), "row_id", 100)
 
 
-_DIGEST = F.expr("sha2(concat_ws('|', slug, name, winery, region), 256) AS digest")
+def _digest() -> Column:
+    return F.sha2(F.concat_ws("|", "slug", "name", "winery", "region"), 256).alias("digest")
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of each row's parts joined by a bar."""
-    return _wines(spark, sf_dir).select("row_id", _DIGEST)
+    return _wines(spark, sf_dir).select("row_id", _digest())
 
 
 def fingerprint_by_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of every feed that does not depend on the order of its rows: count and the sum of the leading 32 bits of the row digests."""
-    d = _wines(spark, sf_dir).select("feed", _DIGEST)
+    d = _wines(spark, sf_dir).select("feed", _digest())
     return d.groupBy("feed").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 

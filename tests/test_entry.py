@@ -20,7 +20,7 @@ def test_names_match():
 
 
 def test_core_does_not_import_llm():
-    code = "import sys, corvine.plans.quality, corvine.plans.catalog, corvine.plans.search, corvine.plans.vectors, corvine.plans.ranking, corvine.plans.sequences; sys.exit(any(m.startswith('corvine.llm') for m in sys.modules))"
+    code = "import sys, corvine.plans.quality, corvine.plans.catalog, corvine.plans.search, corvine.plans.vectors, corvine.plans.ranking, corvine.plans.sequences, corvine.plans.verification, corvine.plans.projections, corvine.plans.sources; sys.exit(any(m.startswith('corvine.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}).returncode == 0
 
 
