@@ -88,9 +88,13 @@ def debug_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ten.groupBy("scan_id", "field").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), " > ").alias("trace"))
 
 
+#: Least score of the readings that stand for the words of a label.
+LEAST_SCORE = 0.3
+
+
 def _label(spark: SparkSession, sf_dir: str, scans: DataFrame, **options) -> DataFrame:
-    """scan_id, query: the distinct words read from the labels of some scans."""
-    read = _read(spark, sf_dir).where("field in ('name', 'winery', 'grape_varieties')").join(scans, "scan_id", "left_semi")
+    """scan_id, query: the distinct words read from the labels of some scans, with a score of ``LEAST_SCORE`` or more."""
+    read = _read(spark, sf_dir).where(F.col("field").isin("name", "winery", "grape_varieties") & (F.col("score") >= LEAST_SCORE)).join(scans, "scan_id", "left_semi")
     return read.select("scan_id", F.explode(words(F.col("value"), **options)).alias("query")).distinct()
 
 

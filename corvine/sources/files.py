@@ -104,10 +104,10 @@ def tolerant_json(text: str, schema: str):
     return F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})
 
 
-def recorded_run(df: DataFrame, table: str, log: str, run: int, version: str) -> bool:
+def recorded_run(df: DataFrame, table: str, log: str, run: int, version: str, announce: bool = False) -> bool:
     """One import run: nothing to do if the last succeeded run has the same version; else the rows go to a path of their own, and only a run that wrote them all is logged as succeeded.
 
-    The log gets a row ``running`` at the start. A failed run is logged with its error and leaves the state as it was. Returns whether rows were written.
+    With ``announce`` the log gets a row ``running`` at the start. A failed run is logged with its error and leaves the state as it was. Returns whether rows were written.
     """
     spark = df.sparkSession
     schema = "run long, version string, path string, status string, error string"
@@ -121,7 +121,8 @@ def recorded_run(df: DataFrame, table: str, log: str, run: int, version: str) ->
             raise
     path, error = f"{table.rstrip('/')}/run={run}", None
     note = lambda status, text: spark.createDataFrame([(run, version, path, status, text)], schema).coalesce(1).write.mode("append").json(log)
-    note("running", None)
+    if announce:
+        note("running", None)
     try:
         df.write.mode("overwrite").parquet(path)
     except Exception as failed:
