@@ -13,6 +13,8 @@ WEIGHTS = {"slug": 0.70, "name": 0.20, "winery": 0.20, "grape_varieties": 0.12,
 TOTAL = 1.37
 TEMPERATURE = 0.06
 MIN_MARGIN = 0.03
+#: Readings of further fields that go along with each proposal of a scan; scans with more are joined with theirs.
+CARRIED = 64
 
 
 def distribution(candidates: DataFrame, by: list[str], temperature: float = TEMPERATURE) -> DataFrame:
@@ -32,22 +34,61 @@ def only_value(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.where(F.col("value").isNotNull()).groupBy(*by).agg(F.min("value").alias("value"), F.max("value").alias("__high")).where(F.col("value") == F.col("__high")).drop("__high")
 
 
-def evidence(shares: DataFrame, items: DataFrame, scan: str, item: str, anchors: tuple[str, str] = ("winery", "name"), extra: tuple[str, ...] = ("region", "category")) -> DataFrame:
-    """scan, item, evidence (weighted shares over the constant total), is_named.
+def proposals(shares: DataFrame, known: DataFrame, scan: str, anchors: tuple[str, str]) -> DataFrame:
+    """scan, a, b, share_a, share_b: the pairs of ``known`` (a, b; distinct) of which a scan reads both sides.
 
-    ``shares``: scan, field, value, share; ``items``: item and one column a field. Items are
-    proposed by both selective fields together (an equi-join, never scans x items); the other
-    fields only add to what was proposed.
+    A reading of ``a`` meets the readings of ``b`` of its scan or the partners of its value, whichever
+    are fewer: neither a scan with many readings nor a value with many partners is multiplied by the other.
     """
     a, b = anchors
     side = lambda f: shares.where(F.col("field") == f).select(scan, F.col("value").alias(f), F.col("share").alias(f"share_{f}"))
-    known = items.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    proposed = side(b).join(known, b).join(side(a), [scan, a])
-    scored = proposed.join(items, [a, b])
+    others = side(b).join(known.select(b).distinct(), b, "left_semi")
+    sizes = known.groupBy(a).agg(F.count("*").alias("__partners"))
+    ones = side(a).join(sizes, a).join(others.groupBy(scan).agg(F.count("*").alias("__readings")), scan)
+    many = F.col("__readings") > F.col("__partners")
+    by_scan = ones.where(~many).select(scan, a, f"share_{a}").join(others, scan).join(known, [a, b], "left_semi")
+    by_value = ones.where(many).select(scan, a, f"share_{a}").join(known, a).join(others, [scan, b])
+    columns = [scan, a, b, f"share_{a}", f"share_{b}"]
+    return by_scan.select(*columns).unionByName(by_value.select(*columns))
+
+
+def carried_shares(shares: DataFrame, scan: str, fields: tuple[str, ...]) -> DataFrame:
+    """scan, is_heavy, a map share_f (value to share) for each field: of scans with up to ``CARRIED`` readings of these fields their maps, of others ``is_heavy`` alone."""
+    near = shares.where(F.col("field").isin(*fields))
+    heavy = near.groupBy(scan).agg(F.count("*").alias("__n")).where(F.col("__n") > CARRIED).select(scan)
+    entry = lambda f: F.when(F.col("field") == f, F.struct("value", "share"))
+    maps = near.join(heavy, scan, "left_anti").groupBy(scan).agg(*(F.map_from_entries(F.collect_list(entry(f))).alias(f"share_{f}") for f in fields))
+    return maps.withColumn("is_heavy", F.lit(False)).unionByName(heavy.withColumn("is_heavy", F.lit(True)), allowMissingColumns=True)
+
+
+def evidence(shares: DataFrame, items: DataFrame, scan: str, item: str, anchors: tuple[str, str] = ("winery", "name"), extra: tuple[str, ...] = ("region", "category"), facts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """scan, item, evidence (weighted shares over the constant total), is_named, columns ``keep`` of items and facts.
+
+    ``shares``: scan, field, value, share (each value once); ``items``: item (once) and one column a
+    field; ``facts``: scan (once) and what is known of it. Items are proposed by both selective fields
+    together (an equi-join, never scans x items); the other fields only add to what was proposed.
+
+    Common pairs have many items and are read by many scans, so the rows of the result grow faster than
+    either side. Everything known of a scan is therefore joined to its pairs; their items come last,
+    and the rows are not shuffled once they are there. Only scans with more than ``CARRIED``
+    readings of the other fields are joined with them row by row.
+    """
+    a, b = anchors
+    known = items.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    proposed = proposals(shares, known.select(a, b).distinct(), scan, anchors)
+    if facts is not None:
+        proposed = proposed.join(facts, scan, "left")
+    about = proposed.join(carried_shares(shares, scan, extra), scan, "left")
+    light = about.where(~F.coalesce("is_heavy", F.lit(False))).join(known, [a, b])
+    rows = about.where("is_heavy").drop(*(f"share_{f}" for f in extra)).join(known, [a, b])
     for f in extra:
-        scored = scored.join(side(f), [scan, f], "left")
-    total = reduce(lambda x, y: x + y, [WEIGHTS[f] * F.coalesce(F.col(f"share_{f}"), F.lit(0.0)) for f in (a, b, *extra)])
-    return scored.groupBy(scan, item).agg(F.max(F.round(total / TOTAL, 4)).alias("evidence"), F.max(F.col(f"share_{b}") > 0).alias("is_named"))
+        rows = rows.join(shares.where(F.col("field") == f).select(scan, F.col("value").alias(f), F.col("share").alias(f"share_{f}")), [scan, f], "left")
+
+    def scored(df: DataFrame, share) -> DataFrame:
+        parts = [WEIGHTS[f] * F.col(f"share_{f}") for f in (a, b)] + [WEIGHTS[f] * F.coalesce(share(f), F.lit(0.0)) for f in extra]
+        return df.select(scan, item, F.round(reduce(lambda x, y: x + y, parts) / TOTAL, 4).alias("evidence"), (F.col(f"share_{b}") > 0).alias("is_named"), *keep)
+
+    return scored(light, lambda f: F.try_element_at(f"share_{f}", F.col(f))).unionByName(scored(rows, lambda f: F.col(f"share_{f}")))
 
 
 def ranked(df: DataFrame, scan: str, item: str, rejected: Column, limit: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvine.functions.text import clean
 from corvine.functions.tokens import vintage, words
@@ -33,17 +34,31 @@ def single_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only_value(_read(spark, sf_dir), ["scan_id", "field"])
 
 
+def _evidence(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Shares and items are read several times: written once."""
+    shares = cut(distribution(_read(spark, sf_dir).where("field in ('name', 'winery', 'region', 'category')"), ["scan_id", "field"]))
+    return evidence(shares, cut(_items(spark, sf_dir)), "scan_id", "slug", **options)
+
+
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence(softmax_field(spark, sf_dir), _items(spark, sf_dir), "scan_id", "slug")
+    return _evidence(spark, sf_dir)
 
 
-def verify_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each scored item with the first contradiction to what the scan read once: category, then year."""
+def _verified(spark: SparkSession, sf_dir: str, *more: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What was read once, and ``more`` facts of scans, go along with the proposals: the scored items are not joined again."""
     single = single_readings(spark, sf_dir)
-    one = lambda f: single.where(F.col("field") == f).select("scan_id", F.col("value").alias(f"read_{f}"))
-    joined = evidence_fusion(spark, sf_dir).join(_items(spark, sf_dir).select("slug", "category", "year", "winery", "name"), "slug").join(one("category"), "scan_id", "left").join(one("year"), "scan_id", "left")
+    once = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"read_{f}")
+    facts = single.where("field in ('category', 'year')").groupBy("scan_id").agg(once("category"), once("year"))
+    for other in more:
+        facts = facts.join(other, "scan_id", "full")
+    scored = _evidence(spark, sf_dir, facts=facts, keep=("winery", "name", "category", "year", "read_category", "read_year", *keep))
     kind = F.when(F.col("read_category") != F.col("category"), "category").when(F.col("read_year") != F.col("year").cast("string"), "year")
-    return joined.select("scan_id", "slug", "winery", "name", "evidence", kind.alias("kind"))
+    return scored.select("scan_id", "slug", "winery", "name", "evidence", kind.alias("kind"), *keep)
+
+
+def verify_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scored item with the first contradiction to what the scan read once: category, then year."""
+    return _verified(spark, sf_dir)
 
 
 def rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +72,19 @@ def rank_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortlist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three of each scan and every item with the name that was read best."""
-    scored = verify_precedence(spark, sf_dir)
-    top = ranked(scored, "scan_id", "slug", F.lit(False), 3).select("scan_id", "slug")
-    named = keep_first(_read(spark, sf_dir).where("field = 'name' and value is not null"), ["scan_id"], [F.col("score").desc_nulls_last(), F.col("value")]).select("scan_id", F.col("value").alias("name"))
-    return top.union(scored.join(named, ["scan_id", "name"]).select("scan_id", "slug")).distinct()
+    best = keep_first(_read(spark, sf_dir).where("field = 'name' and value is not null"), ["scan_id"], [F.col("score").desc_nulls_last(), F.col("value")]).select("scan_id", F.col("value").alias("best_name"))
+    is_best = F.coalesce(F.col("name") == F.col("best_name"), F.lit(False))
+    scored = _verified(spark, sf_dir, best, keep=("best_name",)).select("scan_id", "slug", "evidence", is_best.alias("is_best"))
+    # those with the best name are many and all taken: only the others are taken from the first three
+    top = ranked(scored, "scan_id", "slug", F.lit(False), 3).where("not is_best")
+    return scored.where("is_best").select("scan_id", "slug").unionByName(top.select("scan_id", "slug"))
 
 
 def recommend_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the first 30 items of each scan those that share winery or name with its first, without it, the first three."""
     pool = ranked(verify_precedence(spark, sf_dir).where("evidence > 0"), "scan_id", "slug", F.lit(False), 30)
-    head = pool.where("rank = 1").select("scan_id", F.col("winery").alias("w"), F.col("name").alias("n"))
-    related = pool.where("rank > 1").join(head, "scan_id").where((F.col("winery") == F.col("w")) | (F.col("name") == F.col("n")))
+    head = Window.partitionBy("scan_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    related = pool.withColumn("w", F.first("winery").over(head)).withColumn("n", F.first("name").over(head)).where("rank > 1").where((F.col("winery") == F.col("w")) | (F.col("name") == F.col("n")))
     same = F.concat_ws(",", F.when(F.col("winery") == F.col("w"), "winery"), F.when(F.col("name") == F.col("n"), "name"))
     return ranked(related.drop("rank"), "scan_id", "slug", F.lit(False), 3).select("scan_id", "slug", "evidence", same.alias("shared_fields"), "rank")
 

@@ -2,9 +2,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators.ranking import grapes_fit, identified, name_checks, seen_tokens
+from corvine.operators.ranking import CARRIED, evidence, grapes_fit, identified, name_checks, seen_tokens
 
 
 def test_label_words(spark):
@@ -45,3 +46,57 @@ def test_grape_checks_takes_every_grape_the_label_spells_out(spark, tmp_path):
     spark.createDataFrame(wines, "row_id long, slug string, name string, winery string, region string, category string, is_active boolean, grape_varieties string").write.parquet(str(tmp_path / "catalog_wines.parquet"))
     found = {(r.scan_id, r.slug): r.fits for r in grape_checks(spark, str(tmp_path)).collect()}
     assert found == {("s", "a"): True, ("s", "b"): False, ("t", "a"): True, ("t", "b"): True}
+
+
+def test_evidence_of_scans_with_many_readings(spark):
+    """Many names meet few partners, few names many partners, and more other readings than go along; against a plain version."""
+    regions = [f"r{i}" for i in range(CARRIED + 6)]
+    reads = [("many", "name", f"n{i}", 0.01) for i in range(40)] + [("many", "winery", w, 0.4) for w in ("w1", "w2", "none")] + [("many", "region", r, 0.001 * i) for i, r in enumerate(regions)]
+    reads += [("few", "name", "n0", 0.7), ("few", "winery", "w0", 1.0), ("few", "region", "r1", 0.5), ("few", "category", "c", 1.0), ("half", "name", "n0", 1.0)]
+    wines = [(f"a{i}", f"n{i}", "w0", "r1", "c" if i % 2 else None) for i in range(60)] + [("b", "n0", "w0", None, None), ("c", "n3", "w1", "r69", "c"), ("d", "n3", "w1", "r0", None), ("e", "n99", "w1", "r1", "c"), ("f", None, "w1", "r1", "c")]
+    shares = {(s, f, v): x for s, f, v, x in reads}
+    expected = {
+        (s, w[0]): round((0.2 * shares[s, "winery", w[2]] + 0.2 * shares[s, "name", w[1]] + 0.04 * shares.get((s, "region", w[3]), 0) + 0.03 * shares.get((s, "category", w[4]), 0)) / 1.37, 4)
+        for s in ("many", "few", "half") for w in wines if (s, "winery", w[2]) in shares and (s, "name", w[1]) in shares
+    }
+    r = spark.createDataFrame(reads, "scan string, field string, value string, share double")
+    i = spark.createDataFrame(wines, "slug string, name string, winery string, region string, category string")
+    found = evidence(r, i, "scan", "slug").collect()
+    assert len(found) == len(expected) == 4
+    assert {(x.scan, x.slug): x.evidence for x in found} == expected
+
+
+def _shuffled(df) -> int:
+    """Rows that the plan of ``df`` shuffles."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+
+    def walk(node) -> int:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        children = node.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("query", ["grape_checks"])
+def test_scored_items_are_not_shuffled(spark, tmp_path, monkeypatch, query):
+    """30 scans read a pair that 400 items have: 12,000 scored items, of which each scan needs a few, or which are the result."""
+    from corvine.plans import ranking
+
+    rows = [(f"s{i}", f, 1, v, 0.9) for i in range(30) for f, v in (("name", "Звезда"), ("winery", "Арфитук"), ("category", "Красное"), ("grape_varieties", "Мерло"))]
+    spark.createDataFrame(rows, "scan_id string, field string, pos int, value string, score double").write.parquet(str(tmp_path / "field_candidates.parquet"))
+    wines = [(i, f"w{i:03}", "Звезда", "Арфитук", None, "Красное" if i % 2 else "Белое", True, "Саперави") for i in range(400)]
+    spark.createDataFrame(wines, "row_id long, slug string, name string, winery string, region string, category string, is_active boolean, grape_varieties string").write.parquet(str(tmp_path / "catalog_wines.parquet"))
+    moved = []
+    cut = ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df: moved.append(_shuffled(df)) or cut(df))
+    found = ranking.QUERIES[query](spark, str(tmp_path))
+    moved.append(_shuffled(found))
+    assert sum(moved) < 12_000
+    assert found.count() == {"evidence_fusion": 12_000, "verify_precedence": 12_000, "shortlist_union": 12_000, "rank_decide": 30, "recommend_related": 90}.get(query, 150)
