@@ -84,7 +84,7 @@ def _shuffled(df) -> int:
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("query", ["grape_checks", "rank_order", "verify_precedence", "evidence_fusion", "label_checks", "rank_decide", "recommend_related"])
+@pytest.mark.parametrize("query", ["grape_checks", "rank_order", "verify_precedence", "evidence_fusion", "label_checks", "rank_decide", "recommend_related", "shortlist_union"])
 def test_scored_items_are_not_shuffled(spark, tmp_path, monkeypatch, query):
     """30 scans read a pair that 400 items have: 12,000 scored items, of which each scan needs a few, or which are the result."""
     from corvine.plans import ranking
