@@ -20,13 +20,12 @@ CARRIED = 64
 def distribution(candidates: DataFrame, by: list[str], temperature: float = TEMPERATURE) -> DataFrame:
     """Softmax of the best score of each value within ``by``: by, value, share.
 
-    Two aggregates joined back instead of a window: a scan with a tenth of all rows is combined before the shuffle.
+    Values are made distinct first: a scan with a tenth of all rows is combined before the shuffle, and its window holds each value once.
     """
     best = candidates.where(F.col("value").isNotNull() & F.col("score").isNotNull()).groupBy(*by, "value").agg(F.max("score").alias("score"))
-    top = best.groupBy(*by).agg(F.max("score").alias("top"))
-    weighed = best.join(top, by).withColumn("e", F.exp((F.col("score") - F.col("top")) / temperature))
-    total = weighed.groupBy(*by).agg(F.sum("e").alias("total"))
-    return weighed.join(total, by).select(*by, "value", F.round(F.col("e") / F.col("total"), 6).alias("share"))
+    group = Window.partitionBy(*by)
+    weighed = best.withColumn("e", F.exp((F.col("score") - F.max("score").over(group)) / temperature))
+    return weighed.withColumn("total", F.sum("e").over(group)).select(*by, "value", F.round(F.col("e") / F.col("total"), 6).alias("share"))
 
 
 def only_value(candidates: DataFrame, by: list[str]) -> DataFrame:

@@ -46,9 +46,9 @@ def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _verified(spark: SparkSession, sf_dir: str, *more: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What was read once, and ``more`` facts of scans, go along with the proposals: the scored items are not joined again."""
-    single = single_readings(spark, sf_dir)
-    once = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"read_{f}")
-    facts = single.where("field in ('category', 'year')").groupBy("scan_id").agg(once("category"), once("year"))
+    value = lambda f: F.when(F.col("field") == f, F.col("value"))
+    once = lambda f: F.when(F.min(value(f)) == F.max(value(f)), F.min(value(f))).alias(f"read_{f}")
+    facts = _read(spark, sf_dir).where("field in ('category', 'year') and value is not null").groupBy("scan_id").agg(once("category"), once("year"))
     for other in more:
         facts = facts.join(other, "scan_id", "full")
     scored = _evidence(spark, sf_dir, facts=facts, keep=("winery", "name", "category", "year", "read_category", "read_year", *keep))
