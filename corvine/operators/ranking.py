@@ -141,15 +141,16 @@ def name_checks(seen: DataFrame, scan: str, item: str) -> DataFrame:
     word of the name that the rival lacks. Rivals meet inside a shortlist, whose length the caller has bounded.
     """
     full = seen.groupBy(scan, item).agg(F.min("seen").alias("is_fully_read"), F.sort_array(F.collect_set("token")).alias("own"), F.collect_set(F.when(F.col("seen"), F.col("token"))).alias("shown"))
-    rival = full.select(scan, F.col(item).alias("__rival"), F.col("own").alias("__own"), F.col("shown").alias("__shown"))
+    # rivals with the same words are met once, with their number
+    sets = full.groupBy(scan, "own", F.array_sort("shown").alias("shown")).agg(F.count("*").alias("n"))
+    rival = sets.select(scan, F.col("own").alias("__own"), F.col("shown").alias("__shown"), "n")
     against = (
-        full.join(rival, scan)
-        .where(F.col(item) != F.col("__rival"))
+        sets.drop("n").join(rival, scan)
         .where((F.size(F.array_except("__shown", "own")) > 0) & (F.size(F.array_except("shown", "__own")) == 0))
-        .groupBy(scan, item)
-        .agg(F.count("*").alias("n_against"))
+        .groupBy(scan, "own", "shown")
+        .agg(F.sum("n").alias("n_against"))
     )
-    return full.join(against, [scan, item], "left").select(scan, item, "is_fully_read", F.coalesce("n_against", F.lit(0).cast("long")).alias("n_against"))
+    return full.withColumn("shown", F.array_sort("shown")).join(against, [scan, "own", "shown"], "left").select(scan, item, "is_fully_read", F.coalesce("n_against", F.lit(0).cast("long")).alias("n_against"))
 
 
 def identified(checks: DataFrame, least_visual: float = 0.25) -> DataFrame:
