@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from corvine.functions.tokens import fold_looks, line_strengths
+from corvine.operators import labels
 from corvine.operators.labels import explained, search, winery_first, without
 from corvine.sources.files import publish, prune
 
@@ -70,3 +71,35 @@ def test_publish_replaces_whole_tables(spark, tmp_path):
     with pytest.raises(Exception):
         publish(spark.range(3).selectExpr("raise_error('x') as id"), path)
     assert spark.read.parquet(path).count() == 7
+
+
+def test_search_lists_few_of_a_common_word(spark, monkeypatch):
+    """40 queries with the same two words, one of which 300 values have: each set of words is searched once, and no list is longer than what can be among the first k. Against a plain version."""
+    import math
+
+    told = {f"v{i:03}": {"common", f"own{i % 150}", *(["second"] if i % 100 == 7 else [])} for i in range(300)} | {f"x{i}": {f"other{i}"} for i in range(900)}
+    values = _values(spark, [(v, " ".join(w)) for v, w in told.items()])
+    asked = {f"q{i}": {"common", "second"} for i in range(40)} | {"r": {"own3", "common"}, "all": {"common", "second", *(f"own{i}" for i in range(70))}}
+    queries = _values(spark, [(q, " ".join(w)) for q, w in asked.items()], "query_id string, query string")
+    df = {}
+    for w in (w for ws in told.values() for w in ws):
+        df[w] = df.get(w, 0) + 1
+    weight = {w: 1 + math.log((len(told) + 1) / (n + 1)) for w, n in df.items()}
+    expected = {}
+    for q, words in asked.items():
+        pool = sum(weight[w] for w in words)
+        raw = {v: sum(weight[w] for w in ws & words) ** 2 / pool / sum(weight[w] for w in ws) for v, ws in told.items() if len(ws & words) >= 2 or any(weight[w] >= 2 for w in ws & words)}
+        for k, v in enumerate(sorted(raw, key=lambda v: (-round(raw[v], 9), v))[:10]):
+            expected[q, v] = (round(raw[v], 4), k + 1)
+    written, cut = [], labels.cut
+
+    def counted(df):
+        table = cut(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(labels, "cut", counted)
+    links = _equal(spark, values)
+    assert {(r.query_id, r.value): (r.score, r["rank"]) for r in search(values, queries, links, [], k=10).collect()} == expected
+    # values with the common word are listed by their other words and ten of them by this one
+    assert max(written) < 300 + 900 + 10 + 10 and written[-1] == 3 * 10
