@@ -128,9 +128,11 @@ def seen_tokens(names: DataFrame, label: DataFrame, links: DataFrame, scan: str,
     similarity. A read word supports only the shortlisted words that it matches best (all of equal ones).
     """
     wanted = names.select(scan, "token").distinct()
+    # links to words of no shortlisted name are left out before they meet the labels
+    links = links.join(wanted.select("token").distinct(), "token", "left_semi")
     near = label.join(links, "query").join(wanted, [scan, "token"]).select(scan, "query", "token", "similarity")
-    best = near.groupBy(scan, "query").agg(F.max("similarity").alias("top"))
-    shown = near.join(best, [scan, "query"]).where(F.col("similarity") == F.col("top")).select(scan, "token", F.lit(True).alias("seen")).distinct()
+    best = near.withColumn("top", F.max("similarity").over(Window.partitionBy(scan, "query")))
+    shown = best.where(F.col("similarity") == F.col("top")).select(scan, "token", F.lit(True).alias("seen")).distinct()
     return names.join(shown, [scan, "token"], "left").select(scan, item, "token", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 

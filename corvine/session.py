@@ -50,10 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared checkpoint folder and return that table, without the lineage of ``df``. Compressed, and computed once (an eager checkpoint computes its last stage twice)."""
+    """Write ``df`` to a table in the shared checkpoint folder and return that table, without the lineage of ``df``. Compressed by zstd, as these tables stay until the session ends, and computed once (an eager checkpoint computes its last stage twice)."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # what was shuffled for it is deleted once the driver has collected its garbage
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
