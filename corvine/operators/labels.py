@@ -52,6 +52,8 @@ def search(values: DataFrame, queries: DataFrame, links: DataFrame, by: list[str
     index = cut(index.withColumn("is_first", F.row_number().over(place) <= k).where((F.col("i") < F.size("words") - 1) | F.col("is_first")))
     carried = hits.groupBy("set_id", *by).agg(F.map_from_entries(F.collect_list(F.struct("token", "matched"))).alias("of"), F.sum("matched").alias("pool"), F.count("*").alias("n")).where(F.col("n") <= CARRIED)
     shared = F.filter("words", lambda w: F.map_contains_key("of", w["token"]))
+    # few rows that become many: in as many tasks as there are partitions, which small tables would else not get
+    carried = carried.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_id")
     light = carried.select("set_id", *by, "of", "pool", F.explode(F.map_keys("of")).alias("token")).join(index, [*by, "token"]).withColumn("shared", shared)
     light = light.where(F.when(F.size("shared") == 1, F.col("is_first")).otherwise(F.get("shared", F.lit(0))["token"] == F.col("token")))
     light = light.select(

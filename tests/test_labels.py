@@ -103,3 +103,15 @@ def test_search_lists_few_of_a_common_word(spark, monkeypatch):
     assert {(r.query_id, r.value): (r.score, r["rank"]) for r in search(values, queries, links, [], k=10).collect()} == expected
     # values with the common word are listed by their other words and ten of them by this one
     assert max(written) < 300 + 900 + 10 + 10 and written[-1] == 3 * 10
+
+
+def test_few_queries_are_searched_in_all_partitions(spark, monkeypatch):
+    """A short list of queries that meets many values is not left to one task."""
+    values = _values(spark, [("w", "a b", "common rare1"), ("w", "a c", "common rare2")], "winery string, value string, token string")
+    queries = spark.createDataFrame([("q", "w", "common")], "query_id string, winery string, query string")
+    plans = []
+    cut = labels.cut
+    monkeypatch.setattr(labels, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    found = search(values, queries, _equal(spark, values.select("value", "token")), ["winery"], single=True).collect()
+    assert {r.value for r in found} == {"a b", "a c"}
+    assert "REPARTITION_BY_NUM" in plans[-1]
