@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvine.session import cut
+
 # Weight of each kind of evidence, softmax temperature, least margin.
 WEIGHTS = {"slug": 0.70, "name": 0.20, "winery": 0.20, "grape_varieties": 0.12, "year": 0.08, "region": 0.04, "category": 0.03}
 TOTAL = 1.37
@@ -33,8 +35,8 @@ def only_value(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.where(F.col("value").isNotNull()).groupBy(*by).agg(F.min("value").alias("value"), F.max("value").alias("__high")).where(F.col("value") == F.col("__high")).drop("__high")
 
 
-def proposals(shares: DataFrame, known: DataFrame, scan: str, anchors: tuple[str, str]) -> DataFrame:
-    """scan, a, b, share_a, share_b: the pairs of ``known`` (a, b; distinct) of which a scan reads both sides.
+def proposals(shares: DataFrame, known: DataFrame, scan: str, anchors: tuple[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """scan, a, b, share_a, share_b, columns ``keep`` of known: the pairs of ``known`` (a, b; distinct) of which a scan reads both sides.
 
     A reading of ``a`` meets the readings of ``b`` of its scan or the partners of its value, whichever
     are fewer: neither a scan with many readings nor a value with many partners is multiplied by the other.
@@ -45,9 +47,9 @@ def proposals(shares: DataFrame, known: DataFrame, scan: str, anchors: tuple[str
     sizes = known.groupBy(a).agg(F.count("*").alias("__partners"))
     ones = side(a).join(sizes, a).join(others.groupBy(scan).agg(F.count("*").alias("__readings")), scan)
     many = F.col("__readings") > F.col("__partners")
-    by_scan = ones.where(~many).select(scan, a, f"share_{a}").join(others, scan).join(known, [a, b], "left_semi")
+    by_scan = ones.where(~many).select(scan, a, f"share_{a}").join(others, scan).join(known, [a, b])
     by_value = ones.where(many).select(scan, a, f"share_{a}").join(known, a).join(others, [scan, b])
-    columns = [scan, a, b, f"share_{a}", f"share_{b}"]
+    columns = [scan, a, b, f"share_{a}", f"share_{b}", *keep]
     return by_scan.select(*columns).unionByName(by_value.select(*columns))
 
 
@@ -60,7 +62,32 @@ def carried_shares(shares: DataFrame, scan: str, fields: tuple[str, ...]) -> Dat
     return maps.withColumn("is_heavy", F.lit(False)).unionByName(heavy.withColumn("is_heavy", F.lit(True)), allowMissingColumns=True)
 
 
-def evidence(shares: DataFrame, items: DataFrame, scan: str, item: str, anchors: tuple[str, str] = ("winery", "name"), extra: tuple[str, ...] = ("region", "category"), facts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def most_shares(shares: DataFrame, scan: str, fields: tuple[str, ...]) -> DataFrame:
+    """scan, most: the largest weighted sum that the shares of ``fields`` can add to an item."""
+    top = lambda f: WEIGHTS[f] * F.coalesce(F.max(F.when(F.col("field") == f, F.col("share"))), F.lit(0.0))
+    return shares.where(F.col("field").isin(*fields)).groupBy(scan).agg(reduce(lambda x, y: x + y, map(top, fields)).alias("most"))
+
+
+def leading(pairs: DataFrame, by: list[str], base: Column, most: Column, n_items: str, first: int) -> DataFrame:
+    """The pairs that can hold one of the first ``first`` items by evidence within ``by``.
+
+    Every item of a pair has the weighted sum ``base`` at least and ``most`` more at most. The pairs
+    with the largest bases that have ``first`` items together set a floor: what cannot reach the
+    least of their bases is behind all of these items. The floor is lowered by more than the rounding of evidence.
+    """
+    so_far = Window.partitionBy(*by).orderBy(F.desc("__base")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = pairs.withColumn("__base", base).withColumn("__so_far", F.sum(n_items).over(so_far))
+    floor = F.max(F.when(F.col("__so_far") >= first, F.col("__base"))).over(Window.partitionBy(*by))
+    reached = F.coalesce(F.col("__base") + most >= F.col("__floor") - 0.001, F.lit(True))
+    return summed.withColumn("__floor", floor).where(reached).drop("__base", "__so_far", "__floor")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Few rows that become many when they are joined by ``by``: in as many tasks as there are partitions, so that what a task sorts stays small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def evidence(shares: DataFrame, items: DataFrame, scan: str, item: str, anchors: tuple[str, str] = ("winery", "name"), extra: tuple[str, ...] = ("region", "category"), facts: DataFrame | None = None, keep: tuple[str, ...] = (), first: int | None = None) -> DataFrame:
     """scan, item, evidence (weighted shares over the constant total), is_named, columns ``keep`` of items and facts.
 
     ``shares``: scan, field, value, share (each value once); ``items``: item (once) and one column a
@@ -71,13 +98,23 @@ def evidence(shares: DataFrame, items: DataFrame, scan: str, item: str, anchors:
     either side. Everything known of a scan is therefore joined to its pairs; their items come last,
     and the rows are not shuffled once they are there. Only scans with more than ``CARRIED``
     readings of the other fields are joined with them row by row.
+    ``first``: only the first so many items of each scan by evidence are asked for; pairs that cannot hold one of them are left out.
     """
     a, b = anchors
     known = items.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    proposed = proposals(shares, known.select(a, b).distinct(), scan, anchors)
+    if first is None:
+        proposed = proposals(shares, known.select(a, b).distinct(), scan, anchors)
+    else:
+        sizes = known.groupBy(a, b).agg(F.count("*").alias("n_items"))
+        proposed = proposals(shares, sizes, scan, anchors, ("n_items",)).join(most_shares(shares, scan, extra), scan, "left")
+        base = WEIGHTS[a] * F.col(f"share_{a}") + WEIGHTS[b] * F.col(f"share_{b}")
+        # few are left: written once, and what was shuffled to find them is deleted
+        proposed = cut(leading(proposed, [scan], base, F.coalesce("most", F.lit(0.0)), "n_items", first).drop("n_items", "most"))
     if facts is not None:
         proposed = proposed.join(facts, scan, "left")
     about = proposed.join(carried_shares(shares, scan, extra), scan, "left")
+    if first is not None:
+        about = spread(about, a, b)
     light = about.where(~F.coalesce("is_heavy", F.lit(False))).join(known, [a, b])
     rows = about.where("is_heavy").drop(*(f"share_{f}" for f in extra)).join(known, [a, b])
     for f in extra:
@@ -121,8 +158,8 @@ def contributions(df: DataFrame, by: list[str], amount: Column) -> DataFrame:
     return kept.join(total, by).withColumn("part", F.round(F.col("__amount") / F.col("__total"), 6)).drop("__amount", "__total")
 
 
-def seen_tokens(names: DataFrame, label: DataFrame, links: DataFrame, scan: str, item: str) -> DataFrame:
-    """scan, item, token, seen: which words of each shortlisted name the label shows.
+def seen_tokens(names: DataFrame, label: DataFrame, links: DataFrame, scan: str, item: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """scan, item, token, columns ``keep`` of names, seen: which words of each shortlisted name the label shows.
 
     ``names``: scan, item, token; ``label``: scan, query (read words); ``links``: token, query,
     similarity. A read word supports only the shortlisted words that it matches best (all of equal ones).
@@ -133,18 +170,20 @@ def seen_tokens(names: DataFrame, label: DataFrame, links: DataFrame, scan: str,
     near = label.join(links, "query").join(wanted, [scan, "token"]).select(scan, "query", "token", "similarity")
     best = near.withColumn("top", F.max("similarity").over(Window.partitionBy(scan, "query")))
     shown = best.where(F.col("similarity") == F.col("top")).select(scan, "token", F.lit(True).alias("seen")).distinct()
-    return names.join(shown, [scan, "token"], "left").select(scan, item, "token", F.coalesce("seen", F.lit(False)).alias("seen"))
+    return names.join(shown, [scan, "token"], "left").select(scan, item, "token", *keep, F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
-def name_checks(seen: DataFrame, scan: str, item: str) -> DataFrame:
+def name_checks(seen: DataFrame, scan: str, item: str, number: str | None = None) -> DataFrame:
     """scan, item, is_fully_read, n_against: names whose words are all shown, and by how many shortlisted rivals each name is contradicted.
 
+    ``number``: column of ``seen``, how many rivals an item stands for (else one).
+
     A rival contradicts a name if the label shows a word of the rival that the name lacks, and no
     word of the name that the rival lacks. Rivals meet inside a shortlist, whose length the caller has bounded.
     """
-    full = seen.groupBy(scan, item).agg(F.min("seen").alias("is_fully_read"), F.sort_array(F.collect_set("token")).alias("own"), F.collect_set(F.when(F.col("seen"), F.col("token"))).alias("shown"))
+    full = seen.groupBy(scan, item).agg(F.min("seen").alias("is_fully_read"), F.sort_array(F.collect_set("token")).alias("own"), F.collect_set(F.when(F.col("seen"), F.col("token"))).alias("shown"), (F.max(number) if number else F.lit(1).cast("long")).alias("n"))
     # rivals with the same words are met once, with their number
-    sets = full.groupBy(scan, "own", F.array_sort("shown").alias("shown")).agg(F.count("*").alias("n"))
+    sets = full.groupBy(scan, "own", F.array_sort("shown").alias("shown")).agg(F.sum("n").alias("n"))
     rival = sets.select(scan, F.col("own").alias("__own"), F.col("shown").alias("__shown"), "n")
     against = (
         sets.drop("n").join(rival, scan)

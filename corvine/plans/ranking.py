@@ -34,10 +34,14 @@ def single_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only_value(_read(spark, sf_dir), ["scan_id", "field"])
 
 
-def _evidence(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Shares and items are read several times: written once."""
     shares = cut(distribution(_read(spark, sf_dir).where("field in ('name', 'winery', 'region', 'category')"), ["scan_id", "field"]))
-    return evidence(shares, cut(_items(spark, sf_dir)), "scan_id", "slug", **options)
+    return shares, cut(_items(spark, sf_dir))
+
+
+def _evidence(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return evidence(*_sides(spark, sf_dir), "scan_id", "slug", **options)
 
 
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,20 +119,28 @@ def _label(spark: SparkSession, sf_dir: str, scans: DataFrame, **options) -> Dat
     return read.select("scan_id", F.explode(words(F.col("value"), **options)).alias("query")).distinct()
 
 
-def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the five best names of each scan, and whether a reading of the scan shows them."""
+def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The five best items of each scan with the number of their names; the words of these names, and whether a reading of the scan shows them."""
     ship_package(spark)
-    # used four times below: written once
-    five = cut(ranked(verify_precedence(spark, sf_dir), "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "name", "winery"))
-    names = five.select("scan_id", "slug", F.explode(words(F.concat_ws(" ", "name", "winery"), min_length=5)).alias("token"))
+    shares, items = _sides(spark, sf_dir)
+    # a number stands for the names of an item wherever they would be shuffled
+    text = F.concat_ws(" ", "name", "winery")
+    texts = cut(items.where("name is not null and winery is not null").select(text.alias("text")).distinct().withColumn("named", F.monotonically_increasing_id()))
+    numbered = cut(items.withColumn("text", text).join(texts, "text", "left").drop("text"))
+    # used several times below: written once
+    five = cut(ranked(evidence(shares, numbered, "scan_id", "slug", keep=("named",), first=5).select("scan_id", "slug", "evidence", "named"), "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "named"))
+    tokens = cut(texts.select("named", F.explode(words(F.col("text"), min_length=5)).alias("token")))
+    # items of the same names show the same words
+    names = five.groupBy("scan_id", "named").agg(F.count("*").alias("n")).join(tokens, "named")
     label = cut(_label(spark, sf_dir, five.select("scan_id").distinct(), min_length=5))
     links = linked_tokens(names.select("token").distinct(), label.select(F.col("query").alias("token")).distinct())
-    return seen_tokens(names, label, links, "scan_id", "slug")
+    return five, seen_tokens(names, label, cut(links), "scan_id", "named", ("n",))
 
 
 def label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortlisted items whose name the label shows in full, those it contradicts, and those it identifies."""
-    checks = name_checks(_seen(spark, sf_dir), "scan_id", "slug")
+    five, seen = _seen(spark, sf_dir)
+    checks = five.join(name_checks(cut(seen), "scan_id", "named", "n"), ["scan_id", "named"])
     # every shortlisted item was proposed by its name; no picture evidence is in the tables
     return identified(checks.withColumn("name_share", F.lit(1.0)).withColumn("visual", F.lit(0.0))).select("scan_id", "slug", "is_fully_read", "n_against", "is_identified")
 

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators.ranking import CARRIED, evidence, grapes_fit, identified, name_checks, seen_tokens
+from corvine.operators.ranking import CARRIED, evidence, grapes_fit, identified, name_checks, ranked, seen_tokens
 
 
 def test_label_words(spark):
@@ -100,3 +100,21 @@ def test_scored_items_are_not_shuffled(spark, tmp_path, monkeypatch, query):
     moved.append(_shuffled(found))
     assert sum(moved) < 12_000
     assert found.count() == {"evidence_fusion": 12_000, "verify_precedence": 12_000, "shortlist_union": 12_000, "rank_decide": 30, "recommend_related": 90}.get(query, 150)
+
+
+def test_first_items_without_pairs_that_cannot_hold_them(spark):
+    shares = [("s", "winery", f"w{i}", s) for i, s in enumerate((0.6, 0.3, 0.1))] + [("s", "name", "n", 0.9), ("s", "name", "m", 0.1), ("s", "region", "r", 1.0), ("t", "winery", "w2", 1.0), ("t", "name", "m", 1.0)]
+    shares = spark.createDataFrame(shares, "scan string, field string, value string, share double")
+    rows = [(f"{w}{n}{i}", n, w, "r" if i == 1 else "q", None) for w in ("w0", "w1", "w2") for n in ("n", "m") for i in range(3)]
+    items = spark.createDataFrame(rows, "slug string, name string, winery string, region string, category string")
+    order = lambda df, k: sorted((r.scan, r["rank"], r.slug, r.evidence) for r in ranked(df, "scan", "slug", F.lit(False), k).collect())
+    whole = evidence(shares, items, "scan", "slug")
+    for k in (1, 3, 4, 7, 30):
+        assert order(evidence(shares, items, "scan", "slug", first=k), k) == order(whole, k)
+    # of the six pairs of the first scan the best read has three items, which no region brings another into reach of
+    assert {r.slug[:-1] for r in evidence(shares, items, "scan", "slug", first=3).where("scan = 's'").collect()} == {"w0n"}
+
+
+def test_rivals_of_the_same_names_count_as_many(spark):
+    seen = spark.createDataFrame([("s", "a", "linea", True, 2), ("s", "b", "linea", True, 3), ("s", "b", "plus", True, 3)], "scan string, item string, token string, seen boolean, n long")
+    assert {r.item: r.n_against for r in name_checks(seen, "scan", "item", "n").collect()} == {"a": 3, "b": 0}
