@@ -76,12 +76,16 @@ def rank_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortlist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three of each scan and every item with the name that was read best."""
-    best = keep_first(_read(spark, sf_dir).where("field = 'name' and value is not null"), ["scan_id"], [F.col("score").desc_nulls_last(), F.col("value")]).select("scan_id", F.col("value").alias("best_name"))
-    is_best = F.coalesce(F.col("name") == F.col("best_name"), F.lit(False))
-    scored = _verified(spark, sf_dir, best, keep=("best_name",)).select("scan_id", "slug", "evidence", is_best.alias("is_best"))
-    # those with the best name are many and all taken: only the others are taken from the first three
-    top = ranked(scored, "scan_id", "slug", F.lit(False), 3).where("not is_best")
-    return scored.where("is_best").select("scan_id", "slug").unionByName(top.select("scan_id", "slug"))
+    best = keep_first(_read(spark, sf_dir).where("field = 'name' and value is not null and score is not null"), ["scan_id"], [F.col("score").desc(), F.col("value")])
+    best = cut(best.select("scan_id", F.col("value").alias("best_name")))
+    is_best = F.coalesce(F.col("name") == F.col("best_name"), F.lit(False)).alias("is_best")
+    shares, items = _sides(spark, sf_dir)
+    # those with the best name are many and all taken, whatever their evidence; only the others are taken from the first three
+    three = evidence(shares, items, "scan_id", "slug", facts=best, keep=(is_best,), first=3)
+    top = cut(ranked(three.select("scan_id", "slug", "evidence", "is_best"), "scan_id", "slug", F.lit(False), 3).where("not is_best").select("scan_id", "slug"))
+    wineries = shares.where("field = 'winery'").select("scan_id", F.col("value").alias("winery"))
+    read = best.withColumnRenamed("best_name", "name").join(wineries, "scan_id")
+    return read.join(items.select("slug", "name", "winery"), ["name", "winery"]).select("scan_id", "slug").unionByName(top)
 
 
 def recommend_related(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,14 @@ def test_first_items_without_pairs_that_cannot_hold_them(spark):
 def test_rivals_of_the_same_names_count_as_many(spark):
     seen = spark.createDataFrame([("s", "a", "linea", True, 2), ("s", "b", "linea", True, 3), ("s", "b", "plus", True, 3)], "scan string, item string, token string, seen boolean, n long")
     assert {r.item: r.n_against for r in name_checks(seen, "scan", "item", "n").collect()} == {"a": 3, "b": 0}
+
+
+def test_shortlist_takes_every_item_with_the_best_name(spark, tmp_path):
+    from corvine.plans.ranking import shortlist_union
+
+    wines = [(i, f"{n}{i}", n, w, True) for i, (n, w) in enumerate([("n", "w")] * 4 + [("m", "w")] * 4 + [("x", "v")])]
+    spark.createDataFrame(wines, "row_id long, slug string, name string, winery string, is_active boolean").selectExpr("*", "'r' as region", "'c' as category").write.parquet(f"{tmp_path}/catalog_wines.parquet")
+    reads = [("s", "name", 1, "n", 0.5), ("s", "name", 2, "m", 0.9), ("s", "winery", 1, "w", 0.9), ("t", "name", 1, "n", None), ("t", "winery", 1, "w", 0.9), ("u", "name", 1, "m", None), ("u", "name", 2, "n", 0.2), ("u", "winery", 1, "w", 0.9)]
+    spark.createDataFrame(reads, "scan_id string, field string, pos int, value string, score double").write.parquet(f"{tmp_path}/field_candidates.parquet")
+    found = [(r.scan_id, r.slug) for r in shortlist_union(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted([("s", f"m{i}") for i in range(4, 8)] + [("u", f"n{i}") for i in range(4)])
