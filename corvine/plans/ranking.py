@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,8 @@ from corvine.functions.tokens import vintage, words
 from corvine.operators.catalog import keep_first
 from corvine.operators.ranking import TEMPERATURE, TOTAL, WEIGHTS, contributions, decide, distribution, evidence, identified, name_checks, only_value, ranked, seen_tokens, spelt_out
 from corvine.operators.search import linked_tokens
+from corvine.operators.verification import looked_evidence
+from corvine.plans.verification import _grapes, _looked_weight, _looks, _picture_weight, _pictured
 from corvine.session import cut, ship_package
 from corvine.sources.tables import load
 
@@ -19,11 +21,11 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "field_candidates").select("scan_id", "field", "pos", F.lower(clean(F.col("value"))).alias("value"), "score")
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _items(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     w = load(spark, sf_dir, "catalog_wines").where(F.col("is_active") & clean(F.col("slug")).isNotNull())
     low = lambda c: F.lower(clean(F.col(c))).alias(c)
     first = keep_first(w.withColumn("slug", clean(F.col("slug"))), ["slug"], [F.col("row_id")])
-    return first.select("slug", F.regexp_replace(F.lower(clean(F.col("name"))), r",? *\d{4}$", "").alias("name"), low("winery"), low("region"), low("category"), vintage(F.col("name")).alias("year"))
+    return first.select("slug", F.regexp_replace(F.lower(clean(F.col("name"))), r",? *\d{4}$", "").alias("name"), low("winery"), low("region"), low("category"), vintage(F.col("name")).alias("year"), *more)
 
 
 def softmax_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,30 +125,39 @@ def _label(spark: SparkSession, sf_dir: str, scans: DataFrame, **options) -> Dat
     return read.select("scan_id", F.explode(words(F.col("value"), **options)).alias("query")).distinct()
 
 
-def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The five best items of each scan with the number of their names; the words of these names, and whether a reading of the scan shows them."""
+def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The five best items of each scan with the number of their names, their share of the name and the weight of their picture; the words of these names, and whether a reading of the scan shows them; the weight of all pictures that a scan looks at."""
     ship_package(spark)
-    shares, items = _sides(spark, sf_dir)
+    shares = cut(distribution(_read(spark, sf_dir).where(F.col("field").isin(*WEIGHTS)), ["scan_id", "field"]))
+    looks = cut(_looks(spark, sf_dir))
+    items = _pictured(_items(spark, sf_dir, _grapes()).withColumn("year", F.col("year").cast("string"))).withColumn("exp", _picture_weight())
     # a number stands for the names of an item wherever they would be shuffled
-    text = F.concat_ws(" ", "name", "winery")
-    texts = cut(items.where("name is not null and winery is not null").select(text.alias("text")).distinct().withColumn("named", F.monotonically_increasing_id()))
-    numbered = cut(items.withColumn("text", text).join(texts, "text", "left").drop("text"))
+    items = cut(items.withColumn("text", F.concat_ws(" ", "name", "winery")))
+    texts = cut(items.where("name is not null and winery is not null").select("text").distinct().withColumn("named", F.monotonically_increasing_id()))
+    numbered = cut(items.join(texts, "text", "left").drop("text"))
     # used several times below: written once
-    five = cut(ranked(evidence(shares, numbered, "scan_id", "slug", keep=("named",), first=5).select("scan_id", "slug", "evidence", "named"), "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "named"))
+    best = looked_evidence(shares, looks, numbered, "scan_id", "slug", keep=("named", _looked_weight()), first=5)
+    five = cut(ranked(best, "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "named", "name_share", "looked"))
     tokens = cut(texts.select("named", F.explode(words(F.col("text"), min_length=5)).alias("token")))
-    # items of the same names show the same words
-    names = five.groupBy("scan_id", "named").agg(F.count("*").alias("n")).join(tokens, "named")
+    # items of the same names show the same words; names without long words have none to show
+    names = five.groupBy("scan_id", "named").agg(F.count("*").alias("n")).join(tokens, "named", "left")
     label = cut(_label(spark, sf_dir, five.select("scan_id").distinct(), min_length=5))
-    links = linked_tokens(names.select("token").distinct(), label.select(F.col("query").alias("token")).distinct())
-    return five, seen_tokens(names, label, cut(links), "scan_id", "named", ("n",))
+    links = linked_tokens(names.where("token is not null").select("token").distinct(), label.select(F.col("query").alias("token")).distinct())
+    whole = numbered.where("exp is not null").groupBy(F.col("winery").alias("look_winery"), F.col("year").alias("look_year")).agg(F.sum("exp").alias("whole"))
+    return five, seen_tokens(names, label, cut(links), "scan_id", "named", ("n",)), looks.join(whole, ["look_winery", "look_year"]).select("scan_id", "whole")
 
 
 def label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortlisted items whose name the label shows in full, those it contradicts, and those it identifies."""
-    five, seen = _seen(spark, sf_dir)
-    checks = five.join(name_checks(cut(seen), "scan_id", "named", "n"), ["scan_id", "named"])
-    # every shortlisted item was proposed by its name; no picture evidence is in the tables
-    return identified(checks.withColumn("name_share", F.lit(1.0)).withColumn("visual", F.lit(0.0))).select("scan_id", "slug", "is_fully_read", "n_against", "is_identified")
+    """Shortlisted items whose name the label shows in full, those it contradicts, and those it identifies.
+
+    They are the first five by the evidence of all seven fields. The share of the pictures is that among items whose name the label does not contradict; a contradicted item has none.
+    """
+    five, seen, whole = _seen(spark, sf_dir)
+    checks = five.join(name_checks(cut(seen), "scan_id", "named", "n"), ["scan_id", "named"]).join(whole, "scan_id", "left")
+    is_against = F.col("n_against") > 0
+    rejected = F.sum(F.when(is_against, F.col("looked"))).over(Window.partitionBy("scan_id"))
+    visual = F.when(~is_against, F.round(F.col("looked") / (F.col("whole") - F.coalesce(rejected, F.lit(0.0))), 6))
+    return identified(checks.withColumn("visual", visual)).select("scan_id", "slug", "is_fully_read", "n_against", "is_identified")
 
 
 def grape_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,64 @@ def test_shortlist_takes_every_item_with_the_best_name(spark, tmp_path):
     spark.createDataFrame(reads, "scan_id string, field string, pos int, value string, score double").write.parquet(f"{tmp_path}/field_candidates.parquet")
     found = [(r.scan_id, r.slug) for r in shortlist_union(spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted([("s", f"m{i}") for i in range(4, 8)] + [("u", f"n{i}") for i in range(4)])
+
+
+def test_label_checks_identify_by_name_and_picture(spark, tmp_path):
+    """Pictures depend on the lengths of slugs: of one winery and year those of eight letters have nearly the whole share, those of three a faint one."""
+    from corvine.plans.ranking import label_checks
+
+    wines = [("wine0008", "Звезда, 2020", "Арфитук"), ("abc", "Парус, 2020", "Арфитук"), ("wine0009", "Звезда, 2020", "Бирюза"), ("xyz", "Мускат, 2020", "Бирюза"), ("oleg", "Олег", "Ом")]
+    rows = [(i, *w, None, None, True, None) for i, w in enumerate(wines)]
+    spark.createDataFrame(rows, "row_id long, slug string, name string, winery string, region string, category string, is_active boolean, grape_varieties string").write.parquet(str(tmp_path / "catalog_wines.parquet"))
+    read = {
+        "s": [("name", "Звезда", 0.9), ("winery", "Арфитук", 0.9), ("year", "2020", 0.9)],
+        "t": [("winery", "Арфитук", 0.9), ("year", "2020", 0.9)],
+        "u": [("name", "Парус", 0.2), ("winery", "Арфитук", 0.9), ("year", "2020", 0.9)],
+        "v": [("grape_varieties", "Мускат", 0.9), ("winery", "Бирюза", 0.9), ("year", "2020", 0.9)],
+        "w": [("name", "Олег", 0.9), ("winery", "Ом", 0.9)],
+    }
+    rows = [(s, f, 1, v, x) for s, fields in read.items() for f, v, x in fields]
+    spark.createDataFrame(rows, "scan_id string, field string, pos int, value string, score double").write.parquet(str(tmp_path / "field_candidates.parquet"))
+    found = {(r.scan_id, r.slug): (r.is_fully_read, r.n_against, r.is_identified) for r in label_checks(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("s", "wine0008"): (True, 0, True), ("s", "abc"): (False, 1, False),
+        # a clear picture identifies without a name, a faint one does not, but with a name that the label does not show
+        ("t", "wine0008"): (False, 0, True), ("t", "abc"): (False, 0, False),
+        ("u", "wine0008"): (False, 0, True), ("u", "abc"): (False, 0, True),
+        # a faint picture is clear where the label contradicts the other
+        ("v", "xyz"): (True, 0, True), ("v", "wine0009"): (False, 1, False),
+        # a name of short words has a row, and none of its words is shown
+        ("w", "oleg"): (False, 0, False),
+    }
+
+
+def test_first_items_of_all_fields(spark):
+    """Readings of every field, pictures that rounding makes equal, scans without names or looks, and one with more readings than go along."""
+    from random import Random
+
+    from corvine.operators.verification import looked_evidence
+
+    r = Random(3)
+    pick = lambda c, n: f"{c}{r.randrange(n)}"
+    wines = [(f"i{i:03}", pick("n", 5), pick("w", 3), pick("r", 4), pick("c", 3), str(r.randrange(2)), [pick("g", 5) for _ in range(r.randrange(3))], r.choice((0.0101, 0.0102, 0.01021, 0.012, round(r.random() / 50, 6)))) for i in range(400)]
+    wines += [(f"x{i}", None, None, None, None, None, [], None) for i in range(2)] + [(f"y{i}", "n0", "w0", None, None, None, [], None) for i in range(4)]
+    sizes = {"name": 5, "winery": 3, "region": 4, "category": 3, "year": 2, "grape_varieties": 5}
+    shares, looks = [], []
+    for i in range(30):
+        for f, n in sizes.items():
+            for k in r.sample(range(n), r.randrange(3)):
+                shares.append((f"s{i}", f, str(k) if f == "year" else f"{f[0]}{k}", round(r.random(), 6)))
+        if i % 5:
+            looks.append((f"s{i}", pick("w", 3), str(r.randrange(2))))
+    shares += [("many", "name", "n1", 0.4), ("many", "winery", "w1", 0.9)] + [("many", "region", f"r{i}", 0.001 * i) for i in range(CARRIED + 6)]
+    looks.append(("many", "w1", "1"))
+    s = spark.createDataFrame(shares, "scan string, field string, value string, share double")
+    i = spark.createDataFrame(wines, "slug string, name string, winery string, region string, category string, year string, grapes array<string>, picture double")
+    p = spark.createDataFrame(looks, "scan string, look_winery string, look_year string")
+    order = lambda df, k: sorted((x.scan, x["rank"], x.slug, x.evidence, x.name_share) for x in ranked(df, "scan", "slug", F.lit(False), k).collect())
+    whole = looked_evidence(s, p, i, "scan", "slug").cache()
+    for k in (1, 5):
+        few = looked_evidence(s, p, i, "scan", "slug", first=k)
+        assert order(few, k) == order(whole, k)
+        assert few.count() < whole.count()
+    assert whole.select("scan").distinct().count() > 20
