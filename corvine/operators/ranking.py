@@ -182,6 +182,8 @@ def name_checks(seen: DataFrame, scan: str, item: str, number: str | None = None
     word of the name that the rival lacks. Rivals meet inside a shortlist, whose length the caller has bounded.
     """
     full = seen.groupBy(scan, item).agg(F.min("seen").alias("is_fully_read"), F.sort_array(F.collect_set("token")).alias("own"), F.collect_set(F.when(F.col("seen"), F.col("token"))).alias("shown"), (F.max(number) if number else F.lit(1).cast("long")).alias("n"))
+    # read three times below: written once
+    full = cut(full)
     # rivals with the same words are met once, with their number
     sets = full.groupBy(scan, "own", F.array_sort("shown").alias("shown")).agg(F.sum("n").alias("n"))
     rival = sets.select(scan, F.col("own").alias("__own"), F.col("shown").alias("__shown"), "n")

@@ -125,26 +125,27 @@ def _label(spark: SparkSession, sf_dir: str, scans: DataFrame, **options) -> Dat
     return read.select("scan_id", F.explode(words(F.col("value"), **options)).alias("query")).distinct()
 
 
-def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The five best items of each scan with the number of their names, their share of the name and the weight of their picture; the words of these names, and whether a reading of the scan shows them; the weight of all pictures that a scan looks at."""
+def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The five best items of each scan with the number of their names, their share of the name, the weight of their picture and that of all pictures of their look; the words of these names, and whether a reading of the scan shows them."""
     ship_package(spark)
     shares = cut(distribution(_read(spark, sf_dir).where(F.col("field").isin(*WEIGHTS)), ["scan_id", "field"]))
-    looks = cut(_looks(spark, sf_dir))
     items = _pictured(_items(spark, sf_dir, _grapes()).withColumn("year", F.col("year").cast("string"))).withColumn("exp", _picture_weight())
     # a number stands for the names of an item wherever they would be shuffled
     items = cut(items.withColumn("text", F.concat_ws(" ", "name", "winery")))
     texts = cut(items.where("name is not null and winery is not null").select("text").distinct().withColumn("named", F.monotonically_increasing_id()))
     numbered = cut(items.join(texts, "text", "left").drop("text"))
+    # looks without pictures show nothing
+    whole = numbered.where("exp is not null").groupBy(F.col("winery").alias("look_winery"), F.col("year").alias("look_year")).agg(F.sum("exp").alias("whole"))
+    looks = cut(_looks(spark, sf_dir).join(whole, ["look_winery", "look_year"]))
     # used several times below: written once
-    best = looked_evidence(shares, looks, numbered, "scan_id", "slug", keep=("named", _looked_weight()), first=5)
-    five = cut(ranked(best, "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "named", "name_share", "looked"))
+    best = looked_evidence(shares, looks, numbered, "scan_id", "slug", keep=("named", _looked_weight(), "whole"), first=5)
+    five = cut(ranked(best, "scan_id", "slug", F.lit(False), 5).select("scan_id", "slug", "named", "name_share", "looked", "whole"))
     tokens = cut(texts.select("named", F.explode(words(F.col("text"), min_length=5)).alias("token")))
     # items of the same names show the same words; names without long words have none to show
     names = five.groupBy("scan_id", "named").agg(F.count("*").alias("n")).join(tokens, "named", "left")
     label = cut(_label(spark, sf_dir, five.select("scan_id").distinct(), min_length=5))
     links = linked_tokens(names.where("token is not null").select("token").distinct(), label.select(F.col("query").alias("token")).distinct())
-    whole = numbered.where("exp is not null").groupBy(F.col("winery").alias("look_winery"), F.col("year").alias("look_year")).agg(F.sum("exp").alias("whole"))
-    return five, seen_tokens(names, label, cut(links), "scan_id", "named", ("n",)), looks.join(whole, ["look_winery", "look_year"]).select("scan_id", "whole")
+    return five, seen_tokens(names, label, cut(links), "scan_id", "named", ("n",))
 
 
 def label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +153,8 @@ def label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     They are the first five by the evidence of all seven fields. The share of the pictures is that among items whose name the label does not contradict; a contradicted item has none.
     """
-    five, seen, whole = _seen(spark, sf_dir)
-    checks = five.join(name_checks(cut(seen), "scan_id", "named", "n"), ["scan_id", "named"]).join(whole, "scan_id", "left")
+    five, seen = _seen(spark, sf_dir)
+    checks = five.join(name_checks(cut(seen), "scan_id", "named", "n"), ["scan_id", "named"])
     is_against = F.col("n_against") > 0
     rejected = F.sum(F.when(is_against, F.col("looked"))).over(Window.partitionBy("scan_id"))
     visual = F.when(~is_against, F.round(F.col("looked") / (F.col("whole") - F.coalesce(rejected, F.lit(0.0))), 6))
